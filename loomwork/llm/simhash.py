@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import cut, table, text_of
@@ -151,6 +151,11 @@ def _search(base: np.ndarray, queries: np.ndarray, fp: np.ndarray, level: int, r
             todo.append((base[(db >= low) & (db <= high)], queries[(dq >= low - radius) & (dq <= high + radius)], level + 1))
 
 
+def _below(rings: Column):
+    """Numbers of the shards in the given rings below a shard."""
+    return lambda shard: F.transform(rings, lambda ring: shard * 4 + ring)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard: int = SHARD) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -171,7 +176,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
         home = sum((F.when(d > high, 1).otherwise(0) for _, high in rings[:-1]), F.lit(0))
         here = F.array_compact(F.array(*[F.when(d.between(low - radius, high + radius), F.lit(k)) for k, (low, high) in enumerate(rings)]))
         dealt = dealt.withColumns({
-            "visits": F.flatten(F.transform("visits", lambda s, here=here: F.transform(here, lambda r: s * 4 + r))),
+            "visits": F.flatten(F.transform("visits", _below(here))),
             "home": F.col("home") * 4 + home,
         })
     dealt = dealt.select("fp", "rep", "home", F.explode("visits").alias("shard"))
