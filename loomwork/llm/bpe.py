@@ -19,6 +19,7 @@ import struct
 import sys
 import tempfile
 import unicodedata
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
@@ -225,42 +226,65 @@ class Lexicon:
         return tuple(self.ids[self.offsets[rank] : self.offsets[rank + 1]])
 
 
-class _Memo(dict):
-    """A chunk of text between white space -> its ids as bytes, filled on demand."""
+class _Aging(dict):
+    """Remembers up to twice MEMO_CHUNKS entries: a full generation becomes the old one, which is asked before computing."""
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def __missing__(self, key: str):
+        out = self.old.get(key)
+        if out is None:
+            out = self.made(key)
+        self[key] = out
+        return out
+
+    def age(self) -> None:
+        if len(self) > MEMO_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+
+
+class _Words(_Aging):
+    """A word -> its ids as bytes."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        self.vocabulary, self.lexicon, self.find = vocabulary, lexicon, word_pattern().findall
-        self.known: dict[str, bytes] = {}
+        super().__init__()
+        self.vocabulary, self.lexicon = vocabulary, lexicon
 
-    def word(self, word: str) -> bytes:
+    def made(self, word: str) -> bytes:
         ids = self.lexicon.find(word) if self.lexicon else None
         if ids is None:
             ids = self.vocabulary.merge(word)
-        out = self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+        return array("I", ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        known = self.known
-        parts = [known.get(word) or self.word(word) for word in self.find(chunk)]
-        out = self[chunk] = parts[0] if len(parts) == 1 else b"".join(parts)
-        return out
 
-    def forget(self) -> None:
-        self.clear()
-        if len(self.known) > MEMO_CHUNKS:
-            self.known.clear()
+class _Memo(_Aging):
+    """A chunk of text between white space -> its ids as bytes."""
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
+        super().__init__()
+        self.words, self.find = _Words(vocabulary, lexicon), word_pattern().findall
+
+    def made(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.isascii():
+            return self.words[chunk]
+        return b"".join([self.words[word] for word in self.find(chunk)])
+
+    def age(self) -> None:
+        super().age()
+        self.words.age()
 
 
-class _Spelled(dict):
+class _Spelled(_Aging):
     """A chunk -> its tokens, as decoded."""
 
     def __init__(self, memo: _Memo):
-        self.memo = memo
+        super().__init__()
+        self.memo, self.tokens = memo, memo.words.vocabulary.tokens
 
-    def __missing__(self, chunk: str) -> str:
-        data, tokens = self.memo[chunk], self.memo.vocabulary.tokens
-        out = self[chunk] = " ".join(tokens[i] for i in struct.unpack(f"<{len(data) // 4}I", data))
-        return out
+    def made(self, chunk: str) -> str:
+        return " ".join(map(self.tokens.__getitem__, array("I", self.memo[chunk])))
 
 
 class Encoder:
@@ -296,9 +320,8 @@ class Encoder:
         return text.lower().split()
 
     def _start(self) -> None:
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.forget()
-            self.spelled.clear()
+        self.memo.age()
+        self.spelled.age()
 
     def encode(self, text: str) -> bytes:
         self._start()
@@ -329,10 +352,14 @@ def decode(data: bytes, path: str) -> str:
 
 
 def frequent_words(docs: DataFrame, max_words: int = MAX_WORDS) -> list[str]:
-    """The corpus' most frequent words of letters, counted over every whole text; ties by word."""
-    words = docs.select(F.explode(F.split(F.lower(text_of()), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    top = words.groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(max_words)
-    return [r.word for r in top.collect()]  # at most max_words rows
+    """The words of letters that make up at least one in max_words of the corpus' words; so there are max_words at most.
+
+    They are counted over every whole text.
+    """
+    words = docs.select(F.explode_outer(F.split(F.lower(text_of()), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    counts = words.groupBy("word").count()
+    total = counts.agg(F.sum("count")).scalar()
+    return [r.word for r in counts.where(F.col("count") * max_words >= total).collect()]
 
 
 def build_lexicon(docs: DataFrame, path: str, max_words: int = MAX_WORDS) -> bytes:
