@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from .ann import op4_hnsw
 from .bpe import op6_bpe
+from .chat import OP5_SQL, op5_chat
 from .lm import op8_lm
 from .packing import op10_packing
+from .quality import op7_quality
+from .secrets import op2_secrets
 from .simhash import op3_simhash
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_hnsw, op6_bpe, op8_lm, op9_toxicity, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_simhash, op4_hnsw, op5_chat, op6_bpe, op7_quality, op8_lm, op9_toxicity, op10_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat": OP5_SQL}
