@@ -316,7 +316,7 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, shard: int = SHARD
 
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"point": np.array([], np.int64), "n": np.array([], np.int64), "roots": []})
+            return pd.DataFrame({"point": np.array([], np.int64), "n": np.array([], np.int64), "roots": pd.Series([], dtype=object)})
         own = left.iloc[0]
         x = np.frombuffer(own["x"], np.float64).reshape(-1, int(own["dim"]))
         ids, copies, root = (np.frombuffer(own[k], np.int64) for k in ("point", "copies", "root"))
@@ -333,7 +333,7 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, shard: int = SHARD
         row, to = codes // len(x), ids[codes % len(x)]
         first = np.searchsorted(row, np.arange(len(q) + 1))
         some = np.nonzero(number)[0]
-        return pd.DataFrame({"point": names[some], "n": number[some], "roots": [to[first[k] : first[k + 1]].tolist() for k in some]})
+        return pd.DataFrame({"point": names[some], "n": number[some], "roots": pd.Series([to[first[k] : first[k + 1]].tolist() for k in some], dtype=object)})
 
     answers = cut(asked.groupBy("dim", "shard", "part").cogroup(index.groupBy("dim", "shard", "part")).applyInPandas(lambda q, i: ask(i, q), "point long, n long, roots array<long>"))
     number = answers.groupBy("point").agg(F.sum("n").alias("n"))
