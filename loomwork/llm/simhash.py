@@ -5,7 +5,8 @@ the fingerprint into one of four rings, whose bounds are quantiles of the
 distances of all fingerprints. Some levels of rings, each with a vantage point
 of its own, cut the fingerprints into shards. By the triangle inequality a
 fingerprint can link only into rings whose bounds, widened by the radius, hold
-its distance: it visits the shards across those bounds and no others. In a shard
+its distance: it visits the shards across those bounds and no others, and of two
+such shards only the one after its own (the other's points come to it). In a shard
 the tree goes on in the same way, with all queries of a node at once, down to
 leaves that are compared in full.
 
@@ -33,7 +34,7 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 #: Points that a shard should have of its own.
-SHARD = 16_384
+SHARD = 32_768
 #: Pairs that a leaf compares at once.
 LEAF = 1 << 20
 
@@ -167,19 +168,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     prints = cut(fingerprints(docs, shingle))
     points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = points.count()
-    levels = max(0, math.ceil(math.log(max(1, n / shard), 4)))
+    parts, need = [], math.ceil(n / shard)
+    while need > 1:
+        parts.append(min(4, need))
+        need = math.ceil(need / parts[-1])
+    levels = len(parts)
     dealt = points.withColumns({"home": F.lit(0), "visits": F.array(F.lit(0))})
-    for level in range(levels):
+    for level, number in enumerate(parts):
         d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(np.uint64(vantage(level)).astype(np.int64).item())))
         known = points.groupBy(d.alias("d")).count().collect()  # at most 65 rows
-        rings = _rings(np.array([r["d"] for r in known]), np.array([r["count"] for r in known]))
+        rings = _rings(np.array([r["d"] for r in known]), np.array([r["count"] for r in known]), number)
         home = sum((F.when(d > high, 1).otherwise(0) for _, high in rings[:-1]), F.lit(0))
         here = F.array_compact(F.array(*[F.when(d.between(low - radius, high + radius), F.lit(k)) for k, (low, high) in enumerate(rings)]))
         dealt = dealt.withColumns({
             "visits": F.flatten(F.transform("visits", _below(here))),
             "home": F.col("home") * 4 + home,
         })
-    dealt = dealt.select("fp", "rep", "home", F.explode("visits").alias("shard"))
+    dealt = dealt.select("fp", "rep", "home", F.explode(F.filter("visits", lambda s: s >= F.col("home"))).alias("shard"))
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
