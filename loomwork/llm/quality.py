@@ -26,10 +26,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def _windows(words: Column, n: int) -> Column:
-    """Hashes of the runs of n words, in order."""
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _windows(hashes: Column, n: int) -> Column:
+    """Hashes of the runs of n words, in order, from the words' hashes."""
     few = F.array().cast("array<bigint>")
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))).otherwise(few)
+    return F.when(F.size(hashes) >= n, F.transform(F.sequence(F.lit(1), F.size(hashes) - (n - 1)), lambda i: F.xxhash64(F.slice(hashes, i, F.lit(n))))).otherwise(few)
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -50,10 +54,11 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(count).cast("long")
 
 
-def _cells(words: Column) -> Column:
-    """Cells of the words and of the pairs of adjacent words."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    pairs = F.transform(_windows(words, 2), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+def _cells(hashes: Column) -> Column:
+    """Cells of the words and of the pairs of adjacent words, from the words' hashes."""
+    single = F.transform(hashes, lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))
+    after = F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))), after, lambda a, b: F.xxhash64(a, b).bitwiseAND(BUCKETS - 1).cast("int"))
     return F.concat(single, pairs)
 
 
@@ -66,8 +71,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = labels.where("quality > 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = bounded(rows, trusted, "doc_id", "left")
-    rows = rows.withColumn("words", words_of(F.col("text")))  # a column: inside a lambda it would be split again for each element
-    cells = rows.select("trusted", F.explode_outer(_cells(F.col("words"))).alias("cell")).where("cell is not null")
+    rows = rows.withColumn("hashed", _hashes(words_of(F.col("text"))))  # a column: inside a lambda it would be made anew for each element
+    cells = rows.select("trusted", F.explode_outer(_cells(F.col("hashed"))).alias("cell")).where("cell is not null")
     counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("cell")).join(counts, "cell", "left")
     totals = every.agg(
@@ -98,7 +103,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     weights = log_ratios(docs, labels).first()  # one row of BUCKETS numbers
     shared = _constant(docs.sparkSession, weights["weights"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("hashes", _windows(F.col("words"), WINDOW)).withColumn("cells", _cells(F.col("words")))
+    rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("hashed", _hashes(F.col("words")))
+    rows = rows.withColumn("hashes", _windows(F.col("hashed"), WINDOW)).withColumn("cells", _cells(F.col("hashed")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     total = F.aggregate("cells", F.lit(0.0), lambda acc, c: acc + F.get(shared, c))
     out = rows.withColumn("lines", lines).select(
