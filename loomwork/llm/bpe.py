@@ -50,6 +50,9 @@ def _ranges(wanted: str) -> str:
     return "".join(out)
 
 
+#: In place of a rank: the pair is never merged.
+NEVER = 1 << 60
+
 _WORD: re.Pattern | None = None
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -90,6 +93,9 @@ class Vocabulary:
         alphabet = byte_alphabet()
         self.inner = [self.ids[c] for c in alphabet]
         self.last = [self.ids[c + self.suffix] for c in alphabet]
+        #: by two bytes: what ranks has for them within a word, and at its end
+        self.pairs = [[self.ranks.get(x << 20 | y, NEVER) for y in self.inner] for x in self.inner]
+        self.ends = [[self.ranks.get(x << 20 | y, NEVER) for y in self.last] for x in self.inner]
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -100,12 +106,12 @@ class Vocabulary:
     def merge(self, word: str) -> tuple[int, ...]:
         """The word's ids: always join the adjacent pair of lowest rank, leftmost first."""
         data = word.encode("utf-8", "surrogatepass")
-        inner = self.inner
-        parts = [inner[b] for b in data]
+        parts = [*map(self.inner.__getitem__, data)]
         parts[-1] = self.last[data[-1]]
-        rank = self.ranks.get
-        never = 1 << 60
-        at = [rank(x << 20 | y, never) for x, y in zip(parts, parts[1:])]
+        rank, never = self.ranks.get, NEVER
+        at = [row[b] for row, b in zip(map(self.pairs.__getitem__, data), data[1:])]
+        if at:
+            at[-1] = self.ends[data[-2]][data[-1]]
         while at:
             low = min(at)
             if low == never:
@@ -227,7 +233,9 @@ class Lexicon:
 
 
 class _Aging(dict):
-    """Remembers up to twice MEMO_CHUNKS entries: a full generation becomes the old one, which is asked before computing."""
+    """Remembers up to twice most entries: a full generation becomes the old one, which is asked before computing."""
+
+    most = MEMO_CHUNKS
 
     def __init__(self):
         self.old: dict = {}
@@ -240,7 +248,7 @@ class _Aging(dict):
         return out
 
     def age(self) -> None:
-        if len(self) > MEMO_CHUNKS:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -293,12 +301,13 @@ class Encoder:
     _open: dict[tuple, Encoder] = {}
 
     @classmethod
-    def load(cls, path: str, lexicon: bytes | None = None) -> Encoder:
+    def load(cls, path: str, lexicon: bytes | None = None, most: int = MEMO_CHUNKS) -> Encoder:
         """The worker's encoder, kept from task to task with the words it remembers."""
-        key = (path, hashlib.sha256(lexicon or b"").digest())
+        key = (path, hashlib.sha256(lexicon or b"").digest(), most)
         if key not in cls._open:
             cls._open.clear()
             cls._open[key] = cls(path, lexicon)
+            cls._open[key].memo.most = cls._open[key].memo.words.most = most
         return cls._open[key]
 
     def __init__(self, path: str, lexicon: bytes | None = None):

@@ -28,6 +28,8 @@ from .bpe import Encoder, columns, tokenizer_path
 CAPACITY = 4096
 #: Full sequences of a window; bounds a task's memory at 4 bytes a token.
 WINDOW = 256
+#: Chunks that a worker remembers in a generation; about 100 MB in two.
+MEMO = 500_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 Piece = tuple[int, int, int]  # document's number in the window's list, start, length
@@ -112,7 +114,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
     types = [pa.int64()] * 7
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.load(path)
+        encoder = Encoder.load(path, most=MEMO)
         end = end_id.to_bytes(4, "little")
         held: list[tuple[int, bytes]] = []  # the window's documents
         todo: list[Piece] = []
