@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a new place in the shared folder, and reread."""
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bounded(df: DataFrame, side: DataFrame, on: str | list[str], how: str, max_rows: int = 1_000_000) -> DataFrame:
     """Join df with side; side is broadcast only if a count shows at most max_rows narrow rows, else both are shuffled."""
     if side.limit(max_rows + 1).count() <= max_rows:
