@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisFailure
 from ..functions import vectors
+from ..sources.shared import ship
 from .knn import MAX_QUERIES, distances
 
 
@@ -241,6 +242,7 @@ def build(df: DataFrame, shards: int = 1, config: Config | None = None, metric:
     """An index over df. Choose shards so that each holds some thousand rows; ids have to be unique."""
     vectors.distance(metric)
     config = config or Config()
+    ship(df.sparkSession)
     rows = df.select(F.col(id_).cast("long").alias("id"), vectors.vector(vector).alias("vector"))
     found = rows.agg(F.min(F.size("vector")).alias("a"), F.max(F.size("vector")).alias("b"), F.count(F.when(F.col("vector").isNull() | F.col("id").isNull(), 1)).alias("nulls")).first()
     if found["nulls"]:

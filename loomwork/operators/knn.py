@@ -13,6 +13,7 @@ from ..errors import AnalysisFailure
 from ..functions import vectors
 from ..plans import planner
 from ..plans.statements import Nearest
+from ..sources.shared import ship
 
 #: Queries that a task compares with its rows at once.
 BLOCK = 256
@@ -72,6 +73,7 @@ def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = vectors.D
         n = best_d.shape[1]
         yield pd.DataFrame({"query_id": np.repeat(names, n), "id": best_i.ravel(), "dist": best_d.ravel()})
 
+    ship(df.sparkSession)
     rows_ = df.select(F.col(id_).cast("long").alias("id"), vectors.vector(vector).alias("v")).where("v is not null")
     found = rows_.mapInPandas(nearest, "query_id long, id long, dist double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))

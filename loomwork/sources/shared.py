@@ -1,9 +1,12 @@
-"""The folder that driver and executors share."""
+"""What driver and executors share: a folder, and this package."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -12,3 +15,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A path not used before, in spark.checkpoint.dir; in a local one only where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     return f"{(shared or tempfile.mkdtemp(prefix='loomwork-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once an application; they needn't have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package, folder = Path(__file__).resolve().parent.parent, Path(tempfile.mkdtemp(prefix="loomwork-")).resolve()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # until then the driver serves it
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+    _shipped.add(context.applicationId)
