@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, table
+from .base import cut, ship, table
 from .components import components
 
 LIMIT = 0.9
@@ -310,6 +310,7 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, shard: int = SHARD
             "inside": [[i.astype(np.int64).tobytes() for i in graph.inside]], "layers": [[k.tobytes() for k in graph.layers]],
         })
 
+    ship(vectors.sparkSession)
     index = home.select("dim", "shard", "embedding", "point", "copies").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, x binary, point binary, copies binary, root binary, inside array<binary>, layers array<binary>")
     index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     asked = points.select("dim", "embedding", "point", F.pmod(F.shiftrightunsigned("point", 32), F.lit(shards)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import ship as ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,3 +62,21 @@ def pieces(rows: Iterator, limit: int = 4096) -> Iterator[list]:
             out = []
     if out:
         yield out
+
+
+def rewritten(docs: DataFrame, wide: DataFrame) -> DataFrame:
+    """docs from wide's _row, with the texts of _text where that isn't null; n_chars, if there, follows the text.
+
+    As rows stand in one column, their names can't clash with others.
+    """
+    new = F.col("_text")
+
+    def column(name: str) -> Column:
+        old = F.col("_row").getField(name)
+        if name == "text":
+            return F.coalesce(new, old).alias(name)
+        if name == "n_chars":
+            return F.when(new.isNotNull(), F.char_length(new).cast(docs.schema[name].dataType)).otherwise(old).alias(name)
+        return old.alias(name)
+
+    return wide.select(*map(column, docs.columns))

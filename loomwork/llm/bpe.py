@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, text_of
+from .base import ship, table, text_of
 
 #: Bound on the words of a lexicon: at most some MB when compiled.
 MAX_WORDS = 32_768
@@ -411,6 +411,7 @@ def encode_documents(docs: DataFrame, path: str, lexicon: bytes | None = None, k
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
+    ship(spark)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, kind)
 
 

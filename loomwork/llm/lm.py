@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, text_of
+from .base import ship, table, text_of
 
 #: Characters of a batch, as the mean; bounds what a task holds.
 BATCH_CHARS = 8_000_000
@@ -142,6 +142,7 @@ def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFram
         log = np.bincount(doc, np.log(value), minlength=len(left)) if len(words) else np.zeros(len(left))
         return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "n_tokens": sizes, "log_score": log, "mean_log_score": np.where(sizes > 0, log / np.maximum(sizes, 1), np.nan)})
 
+    ship(docs.sparkSession)
     asked = rows.groupBy("batch").applyInPandas(ask, "part long, batch long, keys binary, counts binary")
     told = asked.groupBy("part").applyInPandas(count, "part long, batch long, sums binary")
     out = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(score, "doc_id long, n_tokens long, log_score double, mean_log_score double")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, text_of
+from .base import ship, table, text_of
 from .bpe import Encoder, columns, tokenizer_path
 
 CAPACITY = 4096
@@ -152,6 +152,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
             done, todo = fill(todo, capacity, tokens // capacity)
             yield rows(done + split_rest(todo, capacity))
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, kind)
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, text_of
+from .base import rewritten, table, text_of
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -119,8 +119,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Positions are code points with the end exclusive. Null and empty texts have
     no spans; texts of any length are scanned whole; repeated rows are scanned
-    one by one. A spare column replaces one of the same name in docs, so docs
-    shouldn't have base_spans or all_spans. An empty table gives no rows.
+    one by one. The two new columns take the place of any of their names in docs
+    (as do _assign, _access, _hex, _candidate and _tests, which go again). An
+    empty table gives no rows.
     """
     text = text_of()
     wide = docs.withColumns({"_assign": F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)), "_access": F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), "_hex": F.regexp_extract_all(text, F.lit(HEX), F.lit(0)), "_candidate": F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))})
@@ -158,10 +159,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["parts"], gap).alias("parts"))
 
     cut = F.aggregate("all_spans", acc, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring("text", a["at"] + 1, F.char_length("text"))))
-    out = scan(docs).withColumn("text", F.when(F.size("all_spans") > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out
+    scanned = scan(docs.select(F.struct("*").alias("_row"), "text"))
+    return rewritten(docs, scanned.withColumn("_text", F.when(F.size("all_spans") > 0, cut)))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

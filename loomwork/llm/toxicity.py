@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, text_of
+from .base import ship, table, text_of
 from .bpe import columns
 
 #: Labelled rows that a classifier is fitted on, about.
@@ -92,6 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     With no usable label the score is that of the bias, 0.5 / 1.
     """
     spark = docs.sparkSession
+    ship(spark)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     share = min(1.0, max_train / max(1, n))
@@ -156,6 +157,7 @@ def score_documents(docs: DataFrame, weights: dict[str, float], bias: float) ->
     repeated rows get equal scores; other columns are ignored; an empty table
     gives no rows.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     class Values(dict):
