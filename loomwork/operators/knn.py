@@ -22,8 +22,8 @@ MAX_QUERIES = 100_000
 
 
 def knn(df: DataFrame, query, k: int, metric: str = vectors.DEFAULT_METRIC, vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
-    """(id, dist) of the k rows nearest to query, ties by id: one top-k operator over a scan of two columns."""
-    return df.select(F.col(id_).alias("id"), vectors.distance(metric)(vector, query).alias("dist")).orderBy("dist", "id").limit(k)
+    """(id, dist) of the k rows nearest to query, ties by id, null vectors left out: one top-k operator over a scan of two columns."""
+    return df.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), vectors.distance(metric)(vector, query).alias("dist")).orderBy("dist", "id").limit(k)
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
