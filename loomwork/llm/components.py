@@ -11,10 +11,10 @@ from .base import cut
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component_id) for every id in a link; component_id is the smallest id reachable.
 
-    Each round hangs every id under its smallest neighbour, shortens the trees by
-    jumping twice, and replaces the links by those between the trees' roots. The
-    number of links at least halves in every round that leaves some, so there
-    are few rounds; nothing but a test for emptiness reaches the driver. The
+    Each round hangs every id under its smallest neighbour, jumps until every id
+    points to its tree's root (the depth halves with each jump), and replaces the
+    links by those between roots. Every tree has two ids at least, so the ids at
+    least halve in each round; nothing but tests for emptiness reaches the driver. The
     minimum is pre-aggregated before each shuffle, so a hub costs no more than
     other ids. Links to itself and nulls are ignored. No links: no rows.
     """
@@ -24,11 +24,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not edges.isEmpty():
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("root"))
-        up = cut(up)
-        for _ in range(2):
+        up, moved = cut(up), True
+        while moved:
             above = up.select(F.col("id").alias("root"), F.col("root").alias("top"))
-            up = up.join(above, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-        up = cut(up)
+            up = cut(up.join(above, "root").select("id", F.col("top").alias("root"), (F.col("top") < F.col("root")).alias("moved")))
+            moved = not up.where("moved").isEmpty()
+        up = up.select("id", "root")
         left = up.select(F.col("id").alias("a"), F.col("root").alias("ra"))
         right = up.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         edges = edges.join(left, "a").join(right, "b").where("ra <> rb")
