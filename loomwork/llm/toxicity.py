@@ -123,9 +123,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     n0, n1 = ends["neg"], ends["pos"]
     if not n0 or not n1:
         return {}, 0.0
-    a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
-    z = (F.log(a / b) - math.log((n1 + 1) / (n0 + 1))) / F.sqrt(1 / a + 1 / b)
-    chosen = seen.where(f"feature <> '' and neg + pos >= {MIN_ROWS}").withColumn("z", z).where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "feature").limit(MAX_FEATURES)
+    n, share = F.col("pos") + F.col("neg"), n1 / (n0 + n1)
+
+    def part(count: str, expected: float):
+        return F.when(F.col(count) > 0, F.col(count) * F.log(F.col(count) / (n * expected))).otherwise(0.0)
+
+    z = F.sqrt(F.greatest(2 * (part("pos", share) + part("neg", 1 - share)), F.lit(0.0)))  # the root of the likelihood ratio statistic
+    chosen = seen.where(f"feature <> '' and neg + pos >= {MIN_ROWS}").withColumn("z", F.round(z, 9)).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
     at = {r["feature"]: k for k, r in enumerate(chosen.collect())}  # at most MAX_FEATURES rows
     shared = spark.sparkContext.broadcast(at)
 
