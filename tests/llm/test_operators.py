@@ -77,6 +77,20 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert all(got[k].spans == "random:4:44" for k in range(60) if got[k].n_random)
 
 
+def test_random_tokens_are_found_after_any_separator(spark):
+    rng = random.Random(6)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(20)]
+    before = ["key ", "aws_key=", "Authorization=", "https://h/x?sig=", "x: ", "x='", 'x="', "a==", "aGVsbG8gd29ybGQgYWdhaW4gYW5k=="]
+    df = spark.createDataFrame([(j * 100 + k, f"{b}{x} end") for j, b in enumerate(before) for k, x in enumerate(keys)], "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in secrets.digests(secrets.scan(df)).collect()}
+    found = [k for k in range(20) if got[k] != [""]]
+    assert len(found) >= 16
+    for j, b in enumerate(before[:-1]):
+        assert all(got[j * 100 + k] == [f"random:{len(b)}:{len(b) + 40}"] for k in found)
+    assert sum(f"random:{len(before[-1])}:{len(before[-1]) + 40}" in got[(len(before) - 1) * 100 + k] for k in found) >= 14  # two candidates, so a stricter control
+
+
 def test_redaction(docs, texts):
     out = secrets.redact(docs)
     assert out.schema.simpleString() == docs.schema.simpleString()
