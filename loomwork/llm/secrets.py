@@ -1,7 +1,8 @@
 r"""Secret scans: pattern spans, and tokens that a battery of randomness tests finds random.
 
-Any token of 20 or more characters of a hex, base-32 or base-64 alphabet is a
-candidate. Its encoding is inferred, and as a sequence over that alphabet of K
+Any token of 20 or more characters of a hex, base-32, base-64 or one-case
+alphanumeric alphabet is a candidate. Its encoding is inferred (it needs a letter
+and a digit, base-64 letters of both cases), and as a sequence over that alphabet of K
 symbols it has to pass three tests of randomness: chi-squared uniformity of the
 symbols, the number of runs above and below the alphabet's middle, and lag-1
 serial correlation. Their statistics' squares add up to about a chi-squared of
@@ -10,7 +11,8 @@ three degrees of freedom; a sum beyond PASS is no random token.
 Short tokens pass such tests by chance, so each also gets the probability that
 an ordinary token of its length would look so random: few equal pairs of
 symbols (a Poisson number for symbols as uneven as in words) and many changes
-between letters of either case and digits (a binomial number). Within a
+between letters of either case and digits (a binomial number; where an alphabet
+has one case, only digits make changes, and ordinary tokens have fewer). Within a
 document the Benjamini-Hochberg procedure, weighted by length, controls the
 false discoveries among all its candidates at the rate FALSE.
 """
@@ -27,8 +29,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 FALSE, PASS = 0.001, 16.3
-EQUAL, CHANGES = 0.065, 0.25
-ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+EQUAL, CHANGES, ONE_CASE = 0.065, 0.25, 0.1
+ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789")
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -58,11 +60,12 @@ def _tested(found: Column, base: Column) -> Column:
         token = F.regexp_replace(x["match"], "=+$", "")
         code = (
             F.when(token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$"), F.when(token.rlike("[0-9]") & token.rlike("[A-Fa-f]"), 0))
-            .when(token.rlike("^[A-Z2-7]+$"), F.when(token.rlike("[2-7]"), 1))
+            .when(token.rlike("^[A-Z2-7]+$") | token.rlike("^[a-z2-7]+$"), F.when(token.rlike("[2-7]") & token.rlike("[A-Za-z]"), 1))
+            .when(token.rlike("^[A-Z0-9]+$") | token.rlike("^[a-z0-9]+$"), F.when(token.rlike("[0-9]") & token.rlike("[A-Za-z]"), 3))
             .when(token.rlike("[A-Z]") & token.rlike("[a-z]") & token.rlike("[0-9]"), 2)
         )
-        plain = F.when(code == 0, F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), plain.alias("token"), F.when(code == 0, ALPHABETS[0]).when(code == 1, ALPHABETS[1]).otherwise(ALPHABETS[2]).alias("alphabet"), code.alias("code"))
+        plain = F.when(code.isin(0, 3), F.lower(token)).when(code == 1, F.upper(token)).otherwise(F.translate(token, "-_", "+/"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), plain.alias("token"), F.when(code == 0, ALPHABETS[0]).when(code == 1, ALPHABETS[1]).when(code == 3, ALPHABETS[3]).otherwise(ALPHABETS[2]).alias("alphabet"), code.alias("code"))
 
     def values(x: Column) -> Column:
         chars = F.split(x["token"], "")
@@ -97,7 +100,8 @@ def _tested(found: Column, base: Column) -> Column:
         random = F.pow(F.greatest(chi, F.lit(0.0)), 2) + F.pow(runs, 2) + F.pow(serial, 2) <= PASS
         pairs = (x["squares"] - n) / 2
         expected = F.when(x["code"] == 0, 2 * EQUAL).otherwise(EQUAL) * n * (n - 1) / 2
-        z = ((expected - pairs - 0.5) / F.sqrt(expected) + (x["changes"] - 0.5 - CHANGES * (n - 1)) / F.sqrt(CHANGES * (1 - CHANGES) * (n - 1))) / F.sqrt(F.lit(2.0))
+        rate = F.when(x["code"] == 2, CHANGES).otherwise(ONE_CASE)
+        z = ((expected - pairs - 0.5) / F.sqrt(expected) + (x["changes"] - 0.5 - rate * (n - 1)) / F.sqrt(rate * (1 - rate) * (n - 1))) / F.sqrt(F.lit(2.0))
         p = F.when(F.coalesce(random, F.lit(False)) & x["code"].isNotNull() & (z > 0), 0.5 * F.exp(-0.717 * z - 0.416 * z * z)).otherwise(F.lit(1.0))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), n.alias("n"), p.alias("p"))
 

@@ -91,6 +91,25 @@ def test_random_tokens_are_found_after_any_separator(spark):
     assert sum(f"random:{len(before[-1])}:{len(before[-1]) + 40}" in got[(len(before) - 1) * 100 + k] for k in found) >= 14  # two candidates, so a stricter control
 
 
+@pytest.mark.parametrize("alphabet, n, least", [("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20, 0.35), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 40, 0.85), ("abcdefghijklmnopqrstuvwxyz234567", 40, 0.85), ("0123456789abcdef", 20, 0.85), ("0123456789ABCDEF", 24, 0.85), ("abcdefghijklmnopqrstuvwxyz0123456789", 32, 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 40, 0.9)])
+def test_random_tokens_of_one_case_are_found(spark, alphabet, n, least):
+    """Alone, and as one of 20 candidates, where rarer p are asked for."""
+    rng = random.Random(7)
+    keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(200)]
+    others = " ".join(f"initf{k}modhooksdynamic{k}" for k in range(10, 29))
+    df = spark.createDataFrame([(k + add, f"{x} {more}") for add, more in ((0, ""), (1000, others)) for k, x in enumerate(keys)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.digests(secrets.scan(df)).collect()}
+    assert set(got.values()) <= {"", f"random:0:{n}"}
+    assert sum(got[k] != "" for k in range(200)) >= least * 200
+    assert sum(got[k + 1000] != "" for k in range(200)) >= (2 * least - 1) * 200
+
+
+def test_ordinary_tokens_of_one_case_are_not_found(spark):
+    plain = ["internationalization2024version", "sha256withrsaencryption2048", "imagecreatefromgd2part", "ucs4stringtowidestring", "CUSTOMERORDERNUMBER20240115", "data1data2data3data4data5", "20240115123456000000abc", "deadbeef000000000000cafe", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef0123456789", "backup20240131version12final"]
+    df = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    assert {r.spans for r in secrets.digests(secrets.scan(df)).collect()} == {""}
+
+
 def test_redaction(docs, texts):
     out = secrets.redact(docs)
     assert out.schema.simpleString() == docs.schema.simpleString()
