@@ -24,6 +24,8 @@ from .base import ship, table, text_of
 #: Characters of a batch, as the mean; bounds what a task holds.
 BATCH_CHARS = 8_000_000
 BACKOFF = 0.4
+#: Words of the longest n-gram of op8_lm.
+ORDER = 3
 SEED = 11
 _START = np.uint64(xxhash.xxh64_intdigest(b"start of text", 1))
 _TOTAL = np.uint64(xxhash.xxh64_intdigest(b"total of tokens", 1))
@@ -69,21 +71,36 @@ def _read(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return words, before, np.repeat(np.arange(len(parts)), sizes), sizes
 
 
-def _keys(words: np.ndarray, before: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
+def _longer(words: np.ndarray, pairs: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of 3 words to order: where n-grams end, and their hashes; the start of a text counts as its first word."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out, less = [], pairs
+    for j in range(3, order + 1):
+        where = np.flatnonzero(place >= j - 2)
+        grams = _bigrams(less[where - 1], words[where])
+        out.append((where, grams))
+        less = np.zeros_like(words)
+        less[where] = grams
+    return out
+
+
+def _keys(words: np.ndarray, pairs: np.ndarray, longer: list[tuple[np.ndarray, np.ndarray]], documents: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of a batch and their counts there."""
-    keys, counts = np.unique(np.concatenate([words, _bigrams(before, words)]), return_counts=True)
+    keys, counts = np.unique(np.concatenate([words, pairs, *(grams for _, grams in longer)]), return_counts=True)
     keys = np.concatenate([keys, np.array([_START, _TOTAL])])
     counts = np.concatenate([counts, [documents, len(words)]])
     order = np.argsort(keys, kind="stable")
     return keys[order], counts[order].astype(np.int64)
 
 
-def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS, order: int = 2) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, log_score (sum of natural logarithms), mean_log_score.
 
     The score of a word is count(before, word) / count(before) over all other
     rows, or 0.4 * count(word) / all tokens where they don't hold the pair;
-    words that no other row has count as seen once. Null and empty texts have no
+    words that no other row has count as seen once. With an order beyond 2, n-grams
+    of up to so many words come first, each step to a shorter one costs 0.4, and
+    the start of the text stands for one word before the first. Null and empty texts have no
     tokens, score 0 and a null mean. Copies of a text are other rows. Repeated
     and null doc_ids are scored row by row; other columns are ignored; an empty
     table gives no rows.
@@ -95,8 +112,9 @@ def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFram
     rows = docs.select(F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(batches)).alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        words, before, _, _ = _read(pdf["text"].tolist())
-        keys, counts = _keys(words, before, len(pdf))
+        words, before, _, sizes = _read(pdf["text"].tolist())
+        pairs = _bigrams(before, words)
+        keys, counts = _keys(words, pairs, _longer(words, pairs, sizes, order), len(pdf))
         parts, starts = np.unique(keys >> shift, return_index=True)
         ends = [*starts[1:], len(keys)]
         batch = int(pdf["batch"].iloc[0])
@@ -116,19 +134,21 @@ def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFram
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         words, before, doc, sizes = _read(left["text"].tolist())
-        keys, _ = _keys(words, before, len(left))
+        pairs = _bigrams(before, words)
+        longer = _longer(words, pairs, sizes, order)
+        keys, _ = _keys(words, pairs, longer, len(left))
         sums = np.concatenate([np.frombuffer(s, np.int64) for s in right.sort_values("part")["sums"]] or [np.array([], np.int64)])
         if len(sums) != len(keys):
             raise ValueError("a batch changed between two readings of the input")
 
-        def others(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def others(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Counts of the n-grams in all rows but the one that they stand in; here: those in that row."""
             at = np.searchsorted(keys, hashes)
             _, own, here = np.unique(doc * len(keys) + at, return_inverse=True, return_counts=True)
             return sums[at] - here[own], at
 
-        pair, _ = others(_bigrams(before, words))
-        single, at = others(words)
+        pair, _ = others(pairs, doc)
+        single, at = others(words, doc)
         total = int(sums[np.searchsorted(keys, _TOTAL)])
         context = sums[np.searchsorted(keys, before)].astype(np.float64)
         slot = np.searchsorted(keys, before)
@@ -139,6 +159,12 @@ def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFram
         context -= np.where(before == _START, 1, own)
         rest = np.maximum(1, total - sizes[doc]).astype(np.float64)
         value = np.where(pair > 0, pair / np.maximum(context, 1), BACKOFF * np.maximum(single, 1) / rest)
+        less = pair
+        for where, grams in longer:
+            more, _ = others(grams, doc[where])
+            value[where] = np.where(more > 0, more / np.maximum(less[where - 1], 1), BACKOFF * value[where])
+            less = np.zeros_like(pair)
+            less[where] = more
         log = np.bincount(doc, np.log(value), minlength=len(left)) if len(words) else np.zeros(len(left))
         return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "n_tokens": sizes, "log_score": log, "mean_log_score": np.where(sizes > 0, log / np.maximum(sizes, 1), np.nan)})
 
@@ -150,4 +176,4 @@ def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS) -> DataFram
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), order=ORDER)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import struct
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -258,6 +260,34 @@ def test_language_model(docs, odd, empty):
     assert lm.score_documents(odd).count() == 6 and lm.score_documents(empty).isEmpty()
 
 
+def test_language_model_of_longer_ngrams(spark, docs, odd, empty):
+    rows = [[None, *(t or "").encode().lower().split()] for _, t in corpus()]
+    grams = lambda w, m: Counter(tuple(w[i:i + m]) for i in range(len(w) - m + 1))
+    for order in (3, 4):
+        every, total = Counter(), sum(len(w) - 1 for w in rows)
+        for w in rows:
+            every.update(g for m in range(1, order + 1) for g in grams(w, m).elements())
+        expected = {}
+        for (i, _), w in zip(corpus(), rows):
+            own = Counter(g for m in range(1, order + 1) for g in grams(w, m).elements())
+            n, score = lambda g: every[g] - own[g], 0.0  # noqa: E731, B023
+            for k in range(1, len(w)):
+                for back, m in enumerate(range(min(order, k + 1), 0, -1)):
+                    g = tuple(w[k + 1 - m:k + 1])
+                    if m == 1 or n(g) > 0:
+                        score += back * math.log(0.4) + math.log(n(g) / n(g[:-1]) if m > 1 else max(1, n(g)) / max(1, total - len(w) + 1))
+                        break
+            expected[i] = score
+        for chars in (lm.BATCH_CHARS, 20_000):
+            for r in lm.score_documents(docs, chars, order=order).collect():
+                assert r.log_score == pytest.approx(expected[r.doc_id], rel=1e-9), r.doc_id
+    assert lm.score_documents(odd, order=3).count() == 6 and lm.score_documents(empty, order=3).isEmpty()
+    salad = "a b d e b c"  # all its pairs stand in other rows, in other contexts
+    both = frame(spark, [(1, "x a b c"), (2, "y a b c"), (3, "z d e b d"), (4, "b d e"), (5, "e b c"), (6, "q a b c"), (7, salad)])
+    two, three = ({r.doc_id: r.log_score for r in lm.score_documents(both, order=k).collect()} for k in (2, lm.ORDER))
+    assert two[7] - three[7] > two[1] - three[1] > 0
+
+
 # 9: toxicity
 
 
