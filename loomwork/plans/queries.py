@@ -83,6 +83,17 @@ _ordered("order_asc_nulls_last", "o_orderkey, o_orderstatus", "orders_nulls", "o
 _ordered("order_desc_nulls_first", "o_orderkey, o_orderstatus", "orders_nulls", "o_orderstatus", "o_orderkey", True, 10_000)
 _ordered("order_int_desc_nulls_first", "o_orderkey, o_custkey", "orders_nulls", "o_custkey", "o_orderkey", True, 25)
 _ordered("order_float_desc_nulls_first", "c_custkey, c_acctbal", "customer_nulls", "c_acctbal", "c_custkey", True, 500)
+
+def _sorted(name: str, columns: str, table: str, by: str, key: str, down: bool) -> None:
+    """The whole table in order, equal values by key."""
+    statement = f"SELECT {columns} FROM {table} ORDER BY {by} {'DESC' if down else 'ASC'}"
+    oracle = statement.replace(f"FROM {table}", f"FROM {ORDERS_NULLS if table == 'orders_nulls' else CUSTOMER_NULLS}")
+    _sql(name, statement, f"{oracle} NULLS {'FIRST' if down else 'LAST'}, {key}")
+
+
+_sorted("order_all_asc_nulls_last", "o_orderkey, o_orderstatus", "orders_nulls", "o_orderstatus", "o_orderkey", False)
+_sorted("order_all_desc_nulls_first", "o_orderkey, o_orderstatus", "orders_nulls", "o_orderstatus", "o_orderkey", True)
+_sorted("order_all_float_desc_nulls_first", "c_custkey, c_acctbal", "customer_nulls", "c_acctbal", "c_custkey", True)
 _ordered("limit_zero", "o_orderkey, o_custkey", "orders", "o_custkey", "o_orderkey", False, 0)
 _ordered("topk_int", "o_orderkey, o_custkey", "orders", "o_custkey", "o_orderkey", False, 20)
 _ordered("topk_float", "c_custkey, c_acctbal", "customer_nulls", "c_acctbal", "c_custkey", False, 20)

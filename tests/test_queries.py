@@ -40,6 +40,16 @@ def test_against_sql(spark, duck, sf_dir, name):
     compare(spark, duck, sf_dir, engine.QUERIES[name], engine.ORACLE_SQL[name])
 
 
+@pytest.mark.parametrize("name, table, by, nulls_first", [("order_all_asc_nulls_last", "orders", 1, False), ("order_all_desc_nulls_first", "orders", 1, True), ("order_all_float_desc_nulls_first", "customer", 1, True)])
+def test_whole_tables_are_sorted(spark, duck, sf_dir, name, table, by, nulls_first):
+    """All rows, in the very order of the SQL, with NULLs at one end."""
+    ours = [tuple(r) for r in engine.QUERIES[name](spark, sf_dir).collect()]
+    assert ours == duck.execute(engine.ORACLE_SQL[name]).fetchall()
+    assert len(ours) == duck.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
+    null = [r[by] is None for r in ours]
+    assert any(null) and not all(null) and null == sorted(null, reverse=nulls_first)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["o_orderkey", "o_totalprice"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
