@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +42,31 @@ def tidy(spark: SparkSession) -> None:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to a new place in the shared folder, and reread."""
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return Kept(df.sparkSession).store(df, name)
+
+
+class Kept:
+    """Tables that a job keeps in the shared folder for a while; drop() deletes one when its last reader is done."""
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.folder = spark, spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        self.paths: dict[str, str] = {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """df written as Parquet under a name of this job's, and reread."""
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}.parquet"
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more, and shuffle files that nothing refers to."""
+        context = self.spark.sparkContext
+        for name in names:
+            path = context._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        tidy(self.spark)
 
 
 def bounded(df: DataFrame, side: DataFrame, on: str | list[str], how: str, max_rows: int = 1_000_000) -> DataFrame:
@@ -71,6 +93,20 @@ def pieces(rows: Iterator, limit: int = 4096) -> Iterator[list]:
         yield out
 
 
+def light(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """run for mapInArrow, after which its Python worker, which later tasks use again, gives freed memory back to the system."""
+
+    def wrapped(batches: Iterable) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def rewritten(docs: DataFrame, wide: DataFrame) -> DataFrame:
     """docs from wide's _row, with the texts of _text where that isn't null; n_chars, if there, follows the text.
 

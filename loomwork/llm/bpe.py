@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ship, table, text_of
+from .base import light, ship, table, text_of
 
 #: Bound on the words of a lexicon: at most some MB when compiled.
 MAX_WORDS = 32_768
-#: Distinct chunks that a worker remembers before it starts anew.
-MEMO_CHUNKS = 300_000
+#: Bytes of a generation of remembered words, about; there are two.
+MEMO_BYTES = 48 << 20
 
 SPACES = "\t-\r \x85\xa0  -     　"
 
@@ -233,63 +233,50 @@ class Lexicon:
 
 
 class _Aging(dict):
-    """Remembers up to twice most entries: a full generation becomes the old one, which is asked before computing."""
+    """Remembers what it made for short keys, in two generations of bounded bytes: a full one becomes the old one, which is asked before making anew."""
 
-    most = MEMO_CHUNKS
-
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = self.room = most
         self.old: dict = {}
 
     def __missing__(self, key: str):
         out = self.old.get(key)
         if out is None:
             out = self.made(key)
-        self[key] = out
+        if len(key) <= 64:
+            self.room -= 240 + 2 * len(key) + len(out)  # with both objects and their share of the table
+            if self.room < 0:
+                self.old = dict(self)
+                self.forget()
+            self[key] = out
         return out
 
-    def age(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
-
-class _Words(_Aging):
-    """A word -> its ids as bytes."""
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        super().__init__()
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-
-    def made(self, word: str) -> bytes:
-        ids = self.lexicon.find(word) if self.lexicon else None
-        if ids is None:
-            ids = self.vocabulary.merge(word)
-        return array("I", ids).tobytes()
+    def forget(self) -> None:
+        self.clear()
+        self.room = self.most
 
 
 class _Memo(_Aging):
-    """A chunk of text between white space -> its ids as bytes."""
+    """A word, or a chunk of text between white space -> its ids as bytes."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        super().__init__()
-        self.words, self.find = _Words(vocabulary, lexicon), word_pattern().findall
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, most: int):
+        super().__init__(most)
+        self.vocabulary, self.lexicon, self.find = vocabulary, lexicon, word_pattern().findall
 
     def made(self, chunk: str) -> bytes:
-        if chunk.isalpha() and chunk.isascii():
-            return self.words[chunk]
-        return b"".join([self.words[word] for word in self.find(chunk)])
-
-    def age(self) -> None:
-        super().age()
-        self.words.age()
+        words = [chunk] if chunk.isalpha() and chunk.isascii() else self.find(chunk)
+        if len(words) != 1:
+            return b"".join([self[word] for word in words])
+        ids = self.lexicon.find(chunk) if self.lexicon else None
+        return array("I", self.vocabulary.merge(chunk) if ids is None else ids).tobytes()
 
 
 class _Spelled(_Aging):
     """A chunk -> its tokens, as decoded."""
 
-    def __init__(self, memo: _Memo):
-        super().__init__()
-        self.memo, self.tokens = memo, memo.words.vocabulary.tokens
+    def __init__(self, memo: _Memo, most: int):
+        super().__init__(most)
+        self.memo, self.tokens = memo, memo.vocabulary.tokens
 
     def made(self, chunk: str) -> str:
         return " ".join(map(self.tokens.__getitem__, array("I", self.memo[chunk])))
@@ -298,22 +285,10 @@ class _Spelled(_Aging):
 class Encoder:
     """Encodes whole texts; gives the ids as little-endian unsigned 32-bit integers."""
 
-    _open: dict[tuple, Encoder] = {}
-
-    @classmethod
-    def load(cls, path: str, lexicon: bytes | None = None, most: int = MEMO_CHUNKS) -> Encoder:
-        """The worker's encoder, kept from task to task with the words it remembers."""
-        key = (path, hashlib.sha256(lexicon or b"").digest(), most)
-        if key not in cls._open:
-            cls._open.clear()
-            cls._open[key] = cls(path, lexicon)
-            cls._open[key].memo.most = cls._open[key].memo.words.most = most
-        return cls._open[key]
-
-    def __init__(self, path: str, lexicon: bytes | None = None):
+    def __init__(self, path: str, lexicon: bytes | None = None, most: int = MEMO_BYTES):
         self.vocabulary = Vocabulary.load(path)
-        self.memo = _Memo(self.vocabulary, Lexicon(lexicon) if lexicon else None)
-        self.spelled = _Spelled(self.memo)
+        self.memo = _Memo(self.vocabulary, Lexicon(lexicon) if lexicon else None, most)
+        self.spelled = _Spelled(self.memo, most)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")").split
         for text, k in self.vocabulary.special.items():
             self.fixed = getattr(self, "fixed", {}) | {text: struct.pack("<I", k)}
@@ -328,12 +303,7 @@ class Encoder:
             return word_pattern().findall(text.lower())
         return text.lower().split()
 
-    def _start(self) -> None:
-        self.memo.age()
-        self.spelled.age()
-
     def encode(self, text: str) -> bytes:
-        self._start()
         get = self.memo.__getitem__
         if "<|" not in text:
             return b"".join(map(get, self.chunks(text)))
@@ -347,7 +317,6 @@ class Encoder:
         return " ".join(x for part in self.split(text) for x in ([part] if part in self.fixed else map(get, self.chunks(part))))
 
     def encode_and_decode(self, text: str) -> tuple[bytes, str]:
-        self._start()
         if "<|" in text:
             return self.encode(text), self.decoded(text)
         chunks = self.chunks(text)
@@ -392,7 +361,7 @@ def encode_documents(docs: DataFrame, path: str, lexicon: bytes | None = None, k
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep_ids else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.load(path, shared.value if shared else None)
+        encoder = Encoder(path, shared.value if shared else None)
         sha = hashlib.sha256
         for batch in batches:
             doc_ids, texts = columns(batch, "doc_id", "text")
@@ -412,7 +381,7 @@ def encode_documents(docs: DataFrame, path: str, lexicon: bytes | None = None, k
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     ship(spark)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(light(run), kind)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -22,14 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ship, table, text_of
+from .base import light, ship, table, text_of
 from .bpe import Encoder, columns, tokenizer_path
 
 CAPACITY = 4096
 #: Full sequences of a window; bounds a task's memory at 4 bytes a token.
 WINDOW = 256
-#: Chunks that a worker remembers in a generation; about 100 MB in two.
-MEMO = 500_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 Piece = tuple[int, int, int]  # document's number in the window's list, start, length
@@ -114,7 +112,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
     types = [pa.int64()] * 7
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.load(path, most=MEMO)
+        encoder = Encoder(path)
         end = end_id.to_bytes(4, "little")
         held: list[tuple[int, bytes]] = []  # the window's documents
         todo: list[Piece] = []
@@ -153,7 +151,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
             yield rows(done + split_rest(todo, capacity))
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(light(run), kind)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

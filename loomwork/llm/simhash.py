@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, ship, table, text_of
+from .base import cut, light, ship, table, text_of
 from .bpe import columns
 from .components import components
 
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(light(run), "doc_id long, fp long")
 
 
 def _rings(distances: np.ndarray, weights: np.ndarray, parts: int = 4) -> list[tuple[int, int]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ship, table, text_of
+from .base import light, ship, table, text_of
 from .bpe import columns
 
 #: Labelled rows that a classifier is fitted on, about.
@@ -113,12 +113,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
                 side = int(toxic > 0)
                 total[side] += 1
                 counts[side].update({f for w in words(text) for f in features(w)})
-                if len(counts[0]) + len(counts[1]) > 600_000:  # bounded memory: pass on what there is
+                if len(counts[0]) + len(counts[1]) > 300_000:  # bounded memory: pass on what there is
                     yield told()
                     counts, total = [Counter(), Counter()], [0, 0]
         yield told()
 
-    seen = rows.mapInArrow(tally, "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    seen = rows.mapInArrow(light(tally), "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     ends = seen.where("feature = ''").first() or {"neg": 0, "pos": 0}
     n0, n1 = ends["neg"], ends["pos"]
     if not n0 or not n1:
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
             other = [swapped(w) for w in here]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array([ids(w) for w in here], pa.list_(pa.int32())), pa.array([None if w is None else ids(w) for w in other], pa.list_(pa.int32()))], ["toxic", "ids", "twin"])
 
-    got = rows.mapInArrow(project, "toxic int, ids array<int>, twin array<int>").toArrow()  # about max_train rows
+    got = rows.mapInArrow(light(project), "toxic int, ids array<int>, twin array<int>").toArrow()  # about max_train rows
     ids, toxic, twin = got["ids"].to_pylist(), got["toxic"].to_pylist(), got["twin"].to_pylist()
     order = sorted(range(len(ids)), key=lambda k: (ids[k], toxic[k]))  # the same sums whatever the rows' order
     twins = sorted((ids[k], twin[k]) for k in order if twin[k] is not None)
@@ -183,7 +183,7 @@ def score_documents(docs: DataFrame, weights: dict[str, float], bias: float) ->
             z = np.array([math.fsum(map(value.__getitem__, words(t))) for t in texts], float) + bias
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(light(run), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -226,4 +226,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFr
             keep = [math.fsum(map(value, words(t or ""))) + bias < edge for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, kind)
+    return docs.mapInArrow(light(run), kind)
