@@ -34,8 +34,8 @@ def ids_of(tokenizer):
 
 
 def test_lines(docs):
-    got = {r.doc_id: r for r in lines.summary(lines.decide(docs)).collect()}
-    expected = brute.removed_lines(corpus())
+    got = {r.doc_id: r for r in lines.summary(lines.decide(docs), docs).collect()}
+    expected = {i: {} for i, _ in corpus()} | brute.removed_lines(corpus())
     assert set(got) == set(expected)
     for i, gone in expected.items():
         assert got[i].removed == ",".join(map(str, sorted(gone))), i
