@@ -14,10 +14,13 @@ from ..sources.store import Store, Version
 from ..types import check_storable, sql_type
 
 
-def create(statement: CreateTable) -> Version:
+def create(statement: CreateTable, case_sensitive: bool = False) -> Version:
+    """The table's first version. Names that differ only in case need a session with spark.sql.caseSensitive."""
     names = [c.name for c in statement.columns]
     if len(set(names)) < len(names):
         raise AnalysisFailure("a column name is given twice")
+    if not case_sensitive and len({n.lower() for n in names}) < len(names):
+        raise AnalysisFailure("column names differ only in case, and spark.sql.caseSensitive is off")
     if SEQ in names:
         raise AnalysisFailure(f"column name {SEQ} is reserved")
     key = next((c.name for c in statement.columns if c.primary_key), None)

@@ -105,14 +105,14 @@ _sql("key_range_open", "SELECT o_orderkey FROM orders WHERE o_orderkey > 1400")
 
 # changes to a versioned copy of customer
 
-COPY = "(SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer)"
+COPY = "(SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer)"
 
 
 def managed(spark: SparkSession, sf_dir: str) -> Session:
     """A session whose table c is a versioned copy of customer, with a primary key."""
     out = Session(spark, new_folder(spark, "tables"))
-    out.sql("CREATE TABLE c (c_custkey INTEGER PRIMARY KEY, c_name TEXT, c_acctbal FLOAT, c_mktsegment TEXT)")
-    out.append("c", parquet(spark, f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
+    out.sql("CREATE TABLE c (c_custkey INTEGER PRIMARY KEY, c_name TEXT, c_nationkey INTEGER, c_acctbal FLOAT, c_mktsegment TEXT)")
+    out.append("c", parquet(spark, f"{sf_dir}/customer.parquet"))
     return out
 
 
@@ -120,25 +120,40 @@ def _changed(name: str, statements: list[str], oracle: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = managed(spark, sf_dir)
         for statement in statements:
-            s.sql(statement)
-        return s.sql("SELECT * FROM c")
+            out = s.sql(statement)
+        return out if statement.startswith("SELECT") else s.sql("SELECT * FROM c")
 
     _add(name, run, oracle)
 
 
-_changed("dml_insert", ["INSERT INTO c VALUES (-1, 'new', 1.5, NULL)"], f"SELECT * FROM {COPY} UNION ALL SELECT -1, 'new', CAST(1.5 AS DOUBLE), NULL")
+_changed("dml_insert", ["INSERT INTO c VALUES (-1, 'new', 3, 1.5, NULL)"], f"SELECT * FROM {COPY} UNION ALL SELECT -1, 'new', 3, CAST(1.5 AS DOUBLE), NULL")
 _changed(
     "dml_update",
     ["UPDATE c SET c_acctbal = 34.99, c_name = 'a name longer than any other there' WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000"],
-    f"SELECT c_custkey, CASE WHEN p THEN 'a name longer than any other there' ELSE c_name END AS c_name, CASE WHEN p THEN CAST(34.99 AS DOUBLE) ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM (SELECT *, c_mktsegment = 'BUILDING' AND c_acctbal > 1000 AS p FROM {COPY})",
+    f"SELECT c_custkey, CASE WHEN p THEN 'a name longer than any other there' ELSE c_name END AS c_name, c_nationkey, CASE WHEN p THEN CAST(34.99 AS DOUBLE) ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM (SELECT *, c_mktsegment = 'BUILDING' AND c_acctbal > 1000 AS p FROM {COPY})",
 )
-_changed("dml_update_all", ["UPDATE c SET c_mktsegment = 'ALL'"], f"SELECT c_custkey, c_name, c_acctbal, 'ALL' AS c_mktsegment FROM {COPY}")
-_changed("dml_update_null", ["UPDATE c SET c_acctbal = NULL WHERE c_custkey <= 10", "UPDATE c SET c_name = 'rich' WHERE c_acctbal >= 5000"], f"SELECT c_custkey, CASE WHEN c_custkey > 10 AND c_acctbal >= 5000 THEN 'rich' ELSE c_name END AS c_name, CASE WHEN c_custkey > 10 THEN c_acctbal END AS c_acctbal, c_mktsegment FROM {COPY}")
-_changed("dml_update_key", ["UPDATE c SET c_custkey = -5 WHERE c_custkey = 5"], f"SELECT CASE WHEN c_custkey = 5 THEN -5 ELSE c_custkey END AS c_custkey, c_name, c_acctbal, c_mktsegment FROM {COPY}")
+_changed("dml_update_all", ["UPDATE c SET c_mktsegment = 'ALL'"], f"SELECT c_custkey, c_name, c_nationkey, c_acctbal, 'ALL' AS c_mktsegment FROM {COPY}")
+_changed("dml_update_null", ["UPDATE c SET c_acctbal = NULL WHERE c_custkey <= 10", "UPDATE c SET c_name = 'rich' WHERE c_acctbal >= 5000"], f"SELECT c_custkey, CASE WHEN c_custkey > 10 AND c_acctbal >= 5000 THEN 'rich' ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_custkey > 10 THEN c_acctbal END AS c_acctbal, c_mktsegment FROM {COPY}")
+_changed("dml_update_key", ["UPDATE c SET c_custkey = -5 WHERE c_custkey = 5"], f"SELECT CASE WHEN c_custkey = 5 THEN -5 ELSE c_custkey END AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM {COPY}")
 _changed("dml_delete", ["DELETE FROM c WHERE c_acctbal < 0 OR c_mktsegment = 'MACHINERY'"], f"SELECT * FROM {COPY} WHERE NOT (c_acctbal < 0 OR c_mktsegment = 'MACHINERY')")
-_changed("dml_delete_all_then_insert", ["DELETE FROM c", "INSERT INTO c VALUES (1, 'one', 1.0, 'X')"], "SELECT CAST(1 AS BIGINT) AS c_custkey, 'one' AS c_name, CAST(1 AS DOUBLE) AS c_acctbal, 'X' AS c_mktsegment")
+_changed("dml_delete_all_then_insert", ["DELETE FROM c", "INSERT INTO c VALUES (1, 'one', 2, 1.0, 'X')"], "SELECT CAST(1 AS BIGINT) AS c_custkey, 'one' AS c_name, CAST(2 AS BIGINT) AS c_nationkey, CAST(1 AS DOUBLE) AS c_acctbal, 'X' AS c_mktsegment")
 _changed("dml_rollback", ["BEGIN", "DELETE FROM c WHERE c_custkey > 3", "UPDATE c SET c_name = 'x'", "ROLLBACK"], f"SELECT * FROM {COPY}")
-_changed("dml_commit", ["BEGIN", "DELETE FROM c WHERE c_custkey > 20", "UPDATE c SET c_name = 'x' WHERE c_custkey = 3", "COMMIT"], f"SELECT c_custkey, CASE WHEN c_custkey = 3 THEN 'x' ELSE c_name END AS c_name, c_acctbal, c_mktsegment FROM {COPY} WHERE c_custkey <= 20")
+_changed("dml_commit", ["BEGIN", "DELETE FROM c WHERE c_custkey > 20", "UPDATE c SET c_name = 'x' WHERE c_custkey = 3", "COMMIT"], f"SELECT c_custkey, CASE WHEN c_custkey = 3 THEN 'x' ELSE c_name END AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM {COPY} WHERE c_custkey <= 20")
+
+
+def _two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transaction over two tables, committed at once."""
+    s = managed(spark, sf_dir)
+    for statement in (
+        "CREATE TABLE log (id INTEGER PRIMARY KEY, note TEXT)", "BEGIN", "INSERT INTO log VALUES (3, 'deleted')", "DELETE FROM c WHERE c_custkey = 3",
+        "INSERT INTO log VALUES (4, 'renamed')", "UPDATE c SET c_name = 'x' WHERE c_custkey = 4", "COMMIT",
+    ):
+        s.sql(statement)
+    return s.sql("SELECT * FROM c").join(s.sql("SELECT * FROM log").withColumnRenamed("id", "c_custkey"), "c_custkey", "full").select("c_custkey", "c_name", "note")
+
+
+_add("dml_commit_two_tables", _two_tables, "SELECT c_custkey, CASE c_custkey WHEN 3 THEN NULL WHEN 4 THEN 'x' ELSE c_name END AS c_name, CASE c_custkey WHEN 3 THEN 'deleted' WHEN 4 THEN 'renamed' END AS note FROM customer")
+_changed("managed_pk_lookup", ["SELECT * FROM c WHERE c_custkey = 42"], f"SELECT * FROM {COPY} WHERE c_custkey = 42")
 _add(
     "pk_violations",
     lambda spark, sf_dir: dml.key_violations(parquet(spark, f"{sf_dir}/lineitem.parquet"), "l_orderkey"),

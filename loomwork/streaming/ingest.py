@@ -11,17 +11,13 @@ from ..session import Session
 def append_stream(session: Session, table: str, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append a stream's rows to a table with the checks of INSERT.
 
-    With a primary key a batch that runs again after a crash only adds the rows
-    that aren't there yet; without one it may add rows twice.
+    The table records the last batch of each stream, known by its checkpoint, so
+    a batch that runs again after a crash adds nothing.
     """
-    version = session._version(table).version
 
-    def add(batch: DataFrame, _: int) -> None:
-        key = version.key
-        if key and session._version(table).version.files:
-            batch = batch.join(session.table(table).select(key), key, "left_anti")
+    def add(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            session.append(table, batch)
+            session.append(table, batch, (checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

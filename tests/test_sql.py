@@ -131,6 +131,71 @@ def test_append_and_compact(s):
     assert s.table("t").count() == 49
 
 
+def test_commit_of_two_tables_is_whole(s, monkeypatch):
+    s.sql("CREATE TABLE a (id INT)")
+    s.sql("CREATE TABLE b (id INT)")
+    for fails in (True, False):
+        s.sql("BEGIN")
+        s.sql("INSERT INTO a VALUES (1)")
+        s.sql("INSERT INTO b VALUES (2)")
+        if fails:  # another writer changes one of the two
+            Session(s.spark, s.root).sql("INSERT INTO b VALUES (9)")
+            with pytest.raises(ConflictFailure):
+                s.sql("COMMIT")
+            assert rows(s.sql("SELECT * FROM a")) == []
+        else:  # a crash before the entry is published leaves nothing of it
+            with monkeypatch.context() as m:
+                m.setattr("os.link", lambda *_: (_ for _ in ()).throw(OSError("crash")))
+                with pytest.raises(OSError):
+                    s.sql("COMMIT")
+            again = Session(s.spark, s.root)
+            assert rows(again.sql("SELECT * FROM a")) == [] and rows(again.sql("SELECT * FROM b")) == [(9,)]
+    s.sql("BEGIN")
+    s.sql("INSERT INTO a VALUES (1)")
+    s.sql("INSERT INTO b VALUES (2)")
+    s.sql("COMMIT")
+    assert rows(s.sql("SELECT * FROM a")) == [(1,)] and sorted(rows(s.sql("SELECT * FROM b"))) == [(2,), (9,)]
+
+
+def test_second_writer_of_an_entry_loses_nothing(s):
+    """Two writers that read the same state: of one table the second conflicts, of another it comes after."""
+    s.sql("CREATE TABLE a (id INT)")
+    s.sql("CREATE TABLE b (id INT)")
+    first, second = Session(s.spark, s.root), Session(s.spark, s.root)
+    state = first.store.state
+    a, b = (dict(state()[1])[t] for t in "ab")
+    stale = state()
+    second.sql("INSERT INTO a VALUES (1)")
+    answers = iter([stale])
+    first.store.state = lambda *x: next(answers, None) or state(*x)  # its first look is from before the other's commit
+    with pytest.raises(ConflictFailure):
+        first.store.commit({"a": (a, a.number)})
+    answers = iter([stale])
+    done = first.store.commit({"b": (b, b.number)})
+    assert done["b"].number == second.store.latest("a").number + 1
+    assert rows(s.sql("SELECT * FROM a")) == [(1,)]
+
+
+def test_log_is_trimmed_and_tables_stay(s, monkeypatch):
+    monkeypatch.setattr("loomwork.sources.store.EVERY", 3)
+    filled(s, "id INT PRIMARY KEY, v INT", *(f"{k}, {k}" for k in range(10)))
+    entries, states = Session(s.spark, s.root).store._listed()
+    assert states == [6, 9] and entries == [7, 8, 9, 10]
+    assert sorted(rows(Session(s.spark, s.root).sql("SELECT id FROM t"))) == [(k,) for k in range(10)]
+
+
+def test_names_that_differ_in_case(s):
+    with pytest.raises(AnalysisFailure):
+        s.sql("CREATE TABLE c (a INT, A INT)")
+    s.spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        s.sql("CREATE TABLE c (a INT, A INT)")
+        s.sql("INSERT INTO c VALUES (1, 2)")
+        assert rows(s.sql("SELECT A FROM c WHERE a = 1")) == [(2,)]
+    finally:
+        s.spark.conf.set("spark.sql.caseSensitive", "false")
+
+
 def test_stream_into_table(s, spark):
     from loomwork.streaming.ingest import append_stream
 
@@ -140,3 +205,11 @@ def test_stream_into_table(s, spark):
     for _ in range(2):
         append_stream(s, "t", spark.readStream.schema("id long, v long").parquet(source), check).awaitTermination()
     assert s.table("t").count() == 11
+
+
+def test_batch_that_runs_again_adds_nothing(s):
+    filled(s, "id INT", "1")
+    more = s.spark.range(2, 4).selectExpr("id")
+    for number in (0, 0, 1):
+        s.append("t", more, ("stream", number))
+    assert s.table("t").count() == 5
