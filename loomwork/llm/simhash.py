@@ -1,13 +1,15 @@
 """SimHash near-duplicates: exact pairs of fingerprints by vantage-point trees.
 
-A vantage point is a fixed 64-bit word; every fingerprint's distance to it puts
-the fingerprint into one of four rings, whose bounds are quantiles of the
-distances of all fingerprints. Some levels of rings, each with a vantage point
-of its own, cut the fingerprints into shards. By the triangle inequality a
-fingerprint can link only into rings whose bounds, widened by the radius, hold
-its distance: it visits the shards across those bounds and no others, and of two
-such shards only the one after its own (the other's points come to it). In a shard
-the tree goes on in the same way, with all queries of a node at once, down to
+A vantage point is a fixed 64-bit word. The 64 bits are cut into one block more
+than the radius. Two fingerprints that link differ in radius bits at most, so
+they agree on a whole block, and on it have the same distance to any vantage
+point: there the triangle bound has no width. For each block a fingerprint's
+distances to some vantage points, within the block, are its shard; it visits one
+shard a block, however many shards there are, and meets all that it links to.
+A shard of too many points is cut into parts, and every two of its parts meet.
+In a shard the tree goes on with distances over all bits, rings whose bounds are
+quantiles, and bounds widened by the radius: a branch is searched by the points
+that the triangle inequality lets link into it, all of a node at once, down to
 leaves that are compared in full.
 
 Equal fingerprints are one point (so copies are never expanded into pairs) and
@@ -26,15 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut, light, ship, table, text_of
+from .base import bounded, cut, light, ship, table, text_of
 from .bpe import columns
 from .components import components
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Points that a shard should have of its own.
-SHARD = 32_768
+#: Points that a shard should have, and those beyond which it is cut into parts.
+SHARD, MOST = 4_096, 32_768
 #: Pairs that a leaf compares at once.
 LEAF = 1 << 20
 
@@ -153,12 +155,50 @@ def _search(base: np.ndarray, queries: np.ndarray, fp: np.ndarray, level: int, r
             todo.append((base[(db >= low) & (db <= high)], queries[(dq >= low - radius) & (dq <= high + radius)], level + 1))
 
 
-def _below(rings: Column):
-    """Numbers of the shards in the given rings below a shard."""
-    return lambda shard: F.transform(rings, lambda ring: shard * 4 + ring)
+def blocks(radius: int) -> list[int]:
+    """Masks of radius + 1 blocks of bits."""
+    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
+    return [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard: int = SHARD) -> DataFrame:
+def _signed(word: int) -> Column:
+    return F.lit(word - (1 << 64) if word >> 63 else word)
+
+
+def shards(points: DataFrame, n: int, radius: int, shard: int, most: int) -> DataFrame:
+    """(fp, shard, i, j, part) per visit of the n points (fp): part is the point's own in its shard, i <= j are those that meet."""
+    levels = max(0, math.ceil(math.log(max(1, n / shard), 4)))  # a level has some four rings of weight
+    masks = blocks(radius) if levels else [(1 << 64) - 1]  # few points are one shard
+
+    def key(k: int, mask: int) -> Column:
+        rings = [F.bit_count(F.col("fp").bitwiseXOR(_signed(vantage(level))).bitwiseAND(_signed(mask))) for level in range(levels)]
+        return F.concat_ws(".", F.lit(k), *rings)
+
+    dealt = points.select("fp", F.explode(F.array(*[key(k, mask) for k, mask in enumerate(masks)])).alias("shard"))
+    large = dealt.groupBy("shard").count().where(F.col("count") > most).select("shard", F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    dealt = bounded(dealt, cut(large), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    return dealt.select("fp", "shard", "part", other).select("fp", "shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
+
+
+def stars(points: DataFrame, radius: int = RADIUS, shard: int = SHARD, most: int = MOST) -> DataFrame:
+    """Pairs (a, b) of different fingerprints, whose components are those of all pairs of points (fp) that link."""
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        union, linked = _Union(fp), np.zeros(len(fp), bool)
+        base, queries = (np.flatnonzero(pdf["part"] == pdf[c]) for c in "ij")
+        _search(base, queries, fp, 0, radius, union, linked)
+        signed, root = fp[linked].view(np.int64), union.label[linked].view(np.int64)
+        star = signed != root
+        return pd.DataFrame({"a": signed[star], "b": root[star]})
+
+    dealt = shards(points.select("fp"), points.count(), radius, shard, most)
+    return dealt.groupBy("shard", "i", "j").applyInPandas(link, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard: int = SHARD, most: int = MOST) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
     Null and empty texts have fingerprint zero and link like any other. Repeated
@@ -168,39 +208,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     """
     prints = cut(fingerprints(docs, shingle))
     points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    n = points.count()
-    parts, need = [], math.ceil(n / shard)
-    while need > 1:
-        parts.append(min(4, need))
-        need = math.ceil(need / parts[-1])
-    levels = len(parts)
-    dealt = points.withColumns({"home": F.lit(0), "visits": F.array(F.lit(0))})
-    for level, number in enumerate(parts):
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(np.uint64(vantage(level)).astype(np.int64).item())))
-        known = points.groupBy(d.alias("d")).count().collect()  # at most 65 rows
-        rings = _rings(np.array([r["d"] for r in known]), np.array([r["count"] for r in known]), number)
-        home = sum((F.when(d > high, 1).otherwise(0) for _, high in rings[:-1]), F.lit(0))
-        here = F.array_compact(F.array(*[F.when(d.between(low - radius, high + radius), F.lit(k)) for k, (low, high) in enumerate(rings)]))
-        dealt = dealt.withColumns({
-            "visits": F.flatten(F.transform("visits", _below(here))),
-            "home": F.col("home") * 4 + home,
-        })
-    dealt = dealt.select("fp", "rep", "home", F.explode(F.filter("visits", lambda s: s >= F.col("home"))).alias("shard"))
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        own = (pdf["home"] == pdf["shard"]).to_numpy()
-        union, linked = _Union(fp), np.zeros(len(fp), bool)
-        everything = np.arange(len(fp))
-        _search(everything[own], everything, fp, levels, radius, union, linked)
-        signed, root = fp[linked].view(np.int64), union.label[linked].view(np.int64)
-        star = signed != root
-        return pd.DataFrame({"a": signed[star], "b": root[star]})
 
-    found = dealt.groupBy("shard").applyInPandas(link, "a long, b long")
+    found = stars(points, radius, shard, most)
     # component ids are doc_ids: a point stands by the smallest doc_id of its class
     ids = points.select(F.col("fp").alias("a"), F.col("rep").alias("ra"))
-    edges = found.distinct().join(ids, "a").join(ids.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
+    edges = found.join(ids, "a").join(ids.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
     joined = components(edges.select("ra", "rb"), "ra", "rb")
     classes = points.join(joined, points.rep == joined.id, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -148,6 +148,25 @@ def test_fingerprints_over_shards(spark):
         assert found == classes
 
 
+def test_shards_lose_no_link_and_visits_stay_bounded(spark):
+    rng = random.Random(9)
+    centres = [rng.getrandbits(64) for _ in range(30)]
+    flips = lambda most: sum(1 << k for k in rng.sample(range(64), rng.randint(0, most)))
+    values = sorted({rng.choice(centres) ^ flips(4) for _ in range(900)} | {rng.getrandbits(64) for _ in range(300)} | {centres[0] ^ flips(3) for _ in range(400)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    points = spark.createDataFrame([(signed(v),) for v in values], "fp long").cache()
+    expected = brute.union(values, [(a, b) for k, a in enumerate(values) for b in values[k + 1 :] if (a ^ b).bit_count() <= 4])
+    for shard, most in ((4096, 32_768), (50, 60), (4, 1000)):  # one shard; shards cut into parts; many shards
+        got = brute.union(values, [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.stars(points, shard=shard, most=most).collect()])
+        assert got == expected
+    for n in (10 * 4096, 1000 * 4096, 10**6 * 4096):
+        visits = simhash.shards(points, n, 4, 4096, 32_768).groupBy("fp").count()
+        assert {r["count"] for r in visits.collect()} == {5}
+    parts = simhash.shards(points, 10, 4, 4096, 400)  # one hot shard: every point meets every part, no task holds more than two
+    assert {r["count"] for r in parts.groupBy("fp").count().collect()} == {4}
+    assert parts.groupBy("i", "j").count().agg(F.max("count")).first()[0] < 1000
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)]
