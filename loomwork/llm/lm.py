@@ -1,6 +1,6 @@
 """Stupid-backoff scores from n-gram counts over the whole corpus, a document's own counts left out.
 
-Rows are dealt evenly over batches of bounded size. A batch sends each of its
+Rows are dealt by a hash of their content over batches of bounded size. A batch sends each of its
 distinct n-grams once, with its count there, to the hash partition that owns
 the n-gram; the partition adds the counts up and sends the sums back, in the
 order of the n-grams' hashes; the batch joins them to its documents' n-grams
@@ -109,7 +109,9 @@ def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS, order: int
     batches = max(1, math.ceil((size["n"] or 0) / batch_chars), math.ceil(size["rows"] / 100_000))
     bits = max(2, math.ceil(math.log2(batches)))
     shift = np.uint64(64 - bits)
-    rows = docs.select(F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33), F.lit(batches)).alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    batch = F.pmod(F.xxhash64(doc_id, text_of()), F.lit(batches))  # of the row alone, so that a stage that runs again deals alike
+    rows = docs.select(batch.alias("batch"), doc_id.alias("doc_id"), text_of().alias("text"))
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         words, before, _, sizes = _read(pdf["text"].tolist())
