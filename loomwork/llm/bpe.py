@@ -16,12 +16,12 @@ import json
 import mmap
 import re
 import struct
-import sys
 import tempfile
 import unicodedata
 from array import array
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,33 +37,84 @@ MEMO_BYTES = 48 << 20
 SPACES = "\t-\r \x85\xa0  -     　"
 
 
-def _ranges(wanted: str) -> str:
-    """A character class body with all code points whose category starts with wanted."""
-    out, start = [], -1
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == wanted
-        if inside and start < 0:
-            start = c
-        elif not inside and start >= 0:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = -1
-    return "".join(out)
+def _assigned() -> Iterator[str]:
+    """All characters but those of planes where none is assigned."""
+    for low, high in ((0x80, 0xD800), (0xE000, 0x40000), (0xE0000, 0xE1000)):
+        yield from map(chr, range(low, high))
+
+
+def _class(characters: Iterable[str]) -> str:
+    """A character class body with the characters, which come in order."""
+    runs: list[list[int]] = []
+    for c in map(ord, characters):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in runs)
+
+
+def normalized(text: str) -> str:
+    """NFC and lower case, by Python's tables."""
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return text.replace("Σ", "σ").lower()  # lower() makes a final sigma of it by context
+
+
+@cache
+def library_normalizer():
+    from tokenizers import Regex, normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+
+
+@cache
+def tables() -> tuple[str, str, str]:
+    """Character class bodies: letters, numbers, and characters that the tokenizers library normalizes by other tables than Python.
+
+    The first two are read from the library's own patterns, as its and Python's
+    versions of Unicode differ; the last are found by comparing both over all
+    characters, orders of marks and compositions. Without the library they are
+    Python's, and there are none of the last.
+    """
+    ascii_letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = [*_assigned()]
+    try:
+        from tokenizers import Regex, pre_tokenizers
+    except ImportError:
+        of = lambda kind: _class([*(ascii_letters if kind == "L" else digits), *(c for c in every if unicodedata.category(c)[0] == kind)])
+        return of("L"), of("N"), ""
+
+    def found(pattern: str, plain: str) -> str:
+        pieces = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str("".join(every))
+        return _class([*plain, *(c for piece, _ in pieces for c in piece)])
+
+    blank = re.compile(f"[{SPACES}]+")
+
+    def differ(texts: list[str]) -> list[bool]:
+        there = library_normalizer().normalize_str("\x01".join(texts)).split("\x01")
+        return [blank.sub(" ", normalized(x)) != y for x, y in zip(texts, there, strict=True)]
+
+    odd = {c for c, d in zip(every, differ(every)) if d}
+    marks = [c for c in every if unicodedata.category(c)[0] == "M"]
+    for probe in ("\u0334", "\u0356", "\u0315", "\u0345"):  # of classes 1, 220, 232 and 240
+        for pairs in ([f"a{c}{probe}" for c in marks], [f"a{probe}{c}" for c in marks]):
+            odd |= {c for c, d in zip(marks, differ(pairs)) if d}
+    parts = [x for c in every if (x := unicodedata.normalize("NFD", c)) != c]
+    odd |= {c for x, d in zip(parts, differ(parts)) if d for c in x}
+    return found(r"\p{L}+", ascii_letters), found(r"\p{N}+", digits), _class(sorted(odd))
 
 
 #: In place of a rank: the pair is never merged.
 NEVER = 1 << 60
 
-_WORD: re.Pattern | None = None
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-def word_pattern() -> re.Pattern:
+@cache
+def word_pattern(letters: str, numbers: str) -> re.Pattern:
     """Contractions, runs of letters, single numbers, runs of anything else but white space."""
-    global _WORD
-    if _WORD is None:
-        letters, numbers = _ranges("L"), _ranges("N")
-        _WORD = re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{SPACES}{letters}{numbers}]+")
-    return _WORD
+    return re.compile(f"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{SPACES}{letters}{numbers}]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -259,9 +310,9 @@ class _Aging(dict):
 class _Memo(_Aging):
     """A word, or a chunk of text between white space -> its ids as bytes."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, most: int):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, most: int, find: Callable[[str], list[str]]):
         super().__init__(most)
-        self.vocabulary, self.lexicon, self.find = vocabulary, lexicon, word_pattern().findall
+        self.vocabulary, self.lexicon, self.find = vocabulary, lexicon, find
 
     def made(self, chunk: str) -> bytes:
         words = [chunk] if chunk.isalpha() and chunk.isascii() else self.find(chunk)
@@ -285,9 +336,12 @@ class _Spelled(_Aging):
 class Encoder:
     """Encodes whole texts; gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, lexicon: bytes | None = None, most: int = MEMO_BYTES):
+    def __init__(self, path: str, lexicon: bytes | None = None, most: int = MEMO_BYTES, classes: tuple[str, str, str] | None = None):
+        """classes: those of tables(), where another process has them already."""
         self.vocabulary = Vocabulary.load(path)
-        self.memo = _Memo(self.vocabulary, Lexicon(lexicon) if lexicon else None, most)
+        letters, numbers, odd = classes or tables()
+        self.words, self.odd = word_pattern(letters, numbers).findall, re.compile(f"[{odd}]").search if odd else None
+        self.memo = _Memo(self.vocabulary, Lexicon(lexicon) if lexicon else None, most, self.words)
         self.spelled = _Spelled(self.memo, most)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")").split
         for text, k in self.vocabulary.special.items():
@@ -295,13 +349,15 @@ class Encoder:
 
     def chunks(self, text: str) -> list[str]:
         """The lower-cased text between white space. A word never reaches across it."""
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # lower() makes a final sigma of it by context
+        if text.isascii():
+            text = text.lower()
+        elif self.odd and self.odd(text):
+            return self.words(library_normalizer().normalize_str(text))
+        else:
+            text = normalized(text)
         if _SEPARATORS.search(text):  # split() takes them for white space, the vocabulary doesn't
-            return word_pattern().findall(text.lower())
-        return text.lower().split()
+            return self.words(text)
+        return text.split()
 
     def encode(self, text: str) -> bytes:
         get = self.memo.__getitem__
@@ -357,11 +413,11 @@ def encode_documents(docs: DataFrame, path: str, lexicon: bytes | None = None, k
     An empty table gives no rows. Texts of any length are encoded whole.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(lexicon) if lexicon else None
+    shared, classes = spark.sparkContext.broadcast(lexicon) if lexicon else None, tables()
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep_ids else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, shared.value if shared else None)
+        encoder = Encoder(path, shared.value if shared else None, classes=classes)
         sha = hashlib.sha256
         for batch in batches:
             doc_ids, texts = columns(batch, "doc_id", "text")

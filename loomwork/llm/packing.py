@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import light, ship, table, text_of
-from .bpe import Encoder, columns, tokenizer_path
+from .bpe import Encoder, columns, tables, tokenizer_path
 
 CAPACITY = 4096
 #: Full sequences of a window; bounds a task's memory at 4 bytes a token.
@@ -109,10 +109,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
     """
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    types = [pa.int64()] * 7
+    types, classes = [pa.int64()] * 7, tables()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, classes=classes)
         end = end_id.to_bytes(4, "little")
         held: list[tuple[int, bytes]] = []  # the window's documents
         todo: list[Piece] = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import struct
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -252,6 +253,23 @@ def test_lexicon_is_minimal_and_exact():
     assert bpe.Lexicon(bpe.compile_lexicon({})).find("x") is None
 
 
+def test_every_code_point_is_encoded_as_in_the_library(tokenizer):
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = ["".join(f"x{c}y1{c} " for c in chars[k : k + 128]) for k in range(0, len(chars), 128)]
+    rng = random.Random(12)
+    marks = [c for c in chars if unicodedata.category(c)[0] == "M"]
+    rows += ["".join(rng.choice(rng.choice((chars, marks, "aeΣİ'sd1 "))) for _ in range(12)) for _ in range(20_000)]
+    encoder, found = bpe.Encoder(PATH), tokenizer.encode_batch(rows, add_special_tokens=False)
+    assert not [r for r, x in zip(rows, found) if encoder.encode(r) != struct.pack(f"<{len(x.ids)}I", *x.ids)]
+
+
+def test_remembered_words_stay_bounded():
+    encoder = bpe.Encoder(PATH, most=20_000)
+    text = " ".join(f"word{k}" for k in range(5000))
+    assert encoder.encode(text) == bpe.Encoder(PATH).encode(text)
+    assert 0 < len(encoder.memo) <= 80 and len(encoder.memo.old) <= 80
+
+
 # 7: quality
 
 
