@@ -348,5 +348,15 @@ def near_duplicates(vectors: DataFrame, limit: float = LIMIT, shard: int = SHARD
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+#: What op4_hnsw gives, by plain SQL.
+OP4_SQL = """
+WITH RECURSIVE usable AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0 AND isfinite(x))) > 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT l.vec_id, (SELECT count(*) FROM links WHERE a = l.vec_id) AS n_links, l.component_id, l.vec_id = l.component_id AS kept FROM least l
+"""
+
+
 def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))

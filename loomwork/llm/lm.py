@@ -177,5 +177,21 @@ def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS, order: int
     return out.withColumn("mean_log_score", F.nanvl("mean_log_score", F.lit(None).cast("double")))
 
 
+#: What op8_lm gives, by plain SQL.
+OP8_SQL = r"""
+WITH words AS (SELECT doc_id, list_prepend(' ', list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS ws FROM documents),
+one AS (SELECT doc_id, len(ws) - 1 AS n, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM words),
+met AS (SELECT *, lag(w) OVER d AS p, lag(w, 2) OVER d AS q FROM one WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+here AS (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS c1, count(*) OVER (PARTITION BY doc_id, p, w) AS c2, count(*) OVER (PARTITION BY doc_id, q, p, w) AS c3,
+  count(*) OVER (PARTITION BY w) AS t1, count(*) OVER (PARTITION BY p, w) AS t2, count(*) OVER (PARTITION BY q, p, w) AS t3 FROM met),
+others AS (SELECT doc_id, n, i, t1 - c1 AS o1, CASE WHEN i >= 1 THEN t2 - c2 END AS o2, CASE WHEN i >= 2 THEN t3 - c3 END AS o3,
+  lag(t1 - c1) OVER d AS before1, CASE WHEN i >= 2 THEN lag(t2 - c2) OVER d END AS before2 FROM here WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+scored AS (SELECT doc_id, n, i, ln(CASE WHEN i = 0 THEN 1.0 WHEN o3 > 0 THEN o3 / greatest(before2, 1) ELSE CASE WHEN i >= 2 THEN 0.4 ELSE 1.0 END *
+  CASE WHEN o2 > 0 THEN o2 / greatest(before1, 1) ELSE 0.4 * greatest(o1, 1) / greatest(1, (SELECT sum(len(ws) - 1) FROM words) - n) END END) AS value FROM others)
+SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, round(sum(value), 6) + 0 AS log_score, CASE WHEN n > 0 THEN round(sum(value) / n, 6) END AS mean_log_score FROM scored GROUP BY doc_id, n
+"""
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), order=ORDER)
+    out = score_documents(table(spark, sf_dir, "documents"), order=ORDER)
+    return out.withColumns({c: F.round(c, 6) + 0.0 for c in ("log_score", "mean_log_score")})

@@ -33,15 +33,3 @@ def test_whole_pipeline_keeps_each_document_once(spark, sf_dir):
 def test_registered():
     names = [f"op{n}_" for n in range(1, 11)]
     assert all(any(q.startswith(n) for q in entry.queries()) for n in names) and "pipeline" in entry.queries()
-
-
-def test_chat_against_sql(spark, sf_dir):
-    import duckdb
-
-    from loomwork.llm.chat import OP5_SQL, op5_chat
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
-    found = con.execute(OP5_SQL)
-    names = [c[0] for c in found.description]
-    assert sorted(found.fetchall()) == sorted(tuple(r[n] for n in names) for r in op5_chat(spark, sf_dir).collect())
