@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisFailure
 from ..functions import vectors
-from ..sources.shared import ship
-from .knn import MAX_QUERIES, distances
+from ..sources.shared import new_folder, ship
+from .knn import QUERY_NUMBERS, distances
 
 
 @dataclass(frozen=True)
@@ -192,30 +192,37 @@ class Index:
     shards: int
 
     def search(self, queries: DataFrame, k: int, ef: int | None = None, vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
-        """(query_id, id, dist, rank) for a bounded number of queries."""
-        rows = queries.select(F.col(id_).cast("long").alias("q"), vectors.vector(vector).alias("v")).limit(MAX_QUERIES + 1).collect()
-        if len(rows) > MAX_QUERIES:
-            raise AnalysisFailure(f"more than {MAX_QUERIES} queries; deal them over several calls")
-        if any(len(r.v) != self.dims for r in rows):
+        """(query_id, id, dist, rank) for all rows of queries, in blocks of a bounded size that meet every shard; nothing passes the driver."""
+        rows = queries.select(F.col(id_).cast("long").alias("q"), vectors.vector(vector).alias("v"))
+        found = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.size("v").eqNullSafe(F.lit(self.dims)), 1)).alias("bad")).first()
+        if found["bad"]:
             raise AnalysisFailure("vector dimension mismatch")
-        shared = self.nodes.sparkSession.sparkContext.broadcast([(r.q, np.array(r.v, np.float64)) for r in rows])
+        blocks = max(1, -(-2 * found["n"] * max(1, self.dims) // QUERY_NUMBERS))  # by a hash, so none gets twice its share
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asked = rows.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("shard", every(self.shards))
+        nodes = self.nodes.withColumn("block", every(blocks))
         config, metric = self.config, self.metric
 
-        def search(pdf: pd.DataFrame) -> pd.DataFrame:
-            graph = Graph.restored(pdf, config, metric)
-            found = [(q, i, d) for q, v in shared.value for i, d in graph.search(v, k, ef)]
-            return pd.DataFrame(found, columns=["query_id", "id", "dist"]).astype({"query_id": "int64", "id": "int64", "dist": "float64"})
+        def search(block: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+            graph = Graph.restored(pdf, config, metric) if len(pdf) and len(block) else None
+            near = [(q, i, d) for q, v in zip(block["q"], block["v"]) for i, d in graph.search(np.asarray(v, np.float64), k, ef)] if graph else []
+            return pd.DataFrame(near, columns=["query_id", "id", "dist"]).astype({"query_id": "int64", "id": "int64", "dist": "float64"})
 
-        out = self.nodes.groupBy("shard").applyInPandas(search, "query_id long, id long, dist double")
+        out = asked.groupBy("shard", "block").cogroup(nodes.groupBy("shard", "block")).applyInPandas(search, "query_id long, id long, dist double")
         return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))).where(F.col("rank") <= k)
 
     def stats(self) -> DataFrame:
-        """One row: num_nodes, max_layer, avg_neighbors_layer0 (0 if empty), entry_points."""
+        """One row: num_nodes, max_layer, avg_neighbors_layer0 (0 if empty), entry_point, entry_points.
+
+        entry_point is the entry of the shard whose graph is highest, the smallest id of several, NULL if there are no nodes.
+        """
+        top = F.when(F.col("entry"), F.struct((-F.col("level")).alias("down"), "id"))
         return self.nodes.agg(
             F.count(F.lit(1)).alias("num_nodes"),
             F.coalesce(F.max("level"), F.lit(0)).alias("max_layer"),
             F.coalesce(F.avg(F.size(F.get("neighbours", F.lit(0)))), F.lit(0.0)).alias("avg_neighbors_layer0"),
-            F.sum(F.col("entry").cast("long")).alias("entry_points"),
+            F.min(top)["id"].alias("entry_point"),
+            F.coalesce(F.sum(F.col("entry").cast("long")), F.lit(0)).alias("entry_points"),
         )
 
     def get(self, id_: int) -> DataFrame:
@@ -239,7 +246,7 @@ class Index:
 
 
 def build(df: DataFrame, shards: int = 1, config: Config | None = None, metric: str = vectors.DEFAULT_METRIC, seed: int = 0, vector: str = "embedding", id_: str = "vec_id") -> Index:
-    """An index over df. Choose shards so that each holds some thousand rows; ids have to be unique."""
+    """An index over df, written to the shared folder. Choose shards so that each holds some thousand rows; ids have to be unique."""
     vectors.distance(metric)
     config = config or Config()
     ship(df.sparkSession)
@@ -260,5 +267,6 @@ def build(df: DataFrame, shards: int = 1, config: Config | None = None, metric:
         out.insert(0, "shard", number)
         return out
 
-    nodes = rows.groupBy("shard").applyInPandas(shard, NODES)
-    return Index(nodes, config, metric, found["a"] or 0, shards)
+    path = new_folder(df.sparkSession, "graph")  # built once, whatever is asked of it
+    rows.groupBy("shard").applyInPandas(shard, NODES).write.parquet(path)
+    return Index(df.sparkSession.read.schema(NODES).parquet(path), config, metric, found["a"] or 0, shards)

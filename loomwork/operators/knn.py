@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,8 @@ from ..sources.shared import ship
 
 #: Queries that a task compares with its rows at once.
 BLOCK = 256
-#: Queries of one batch call; they are sent to every task, so their number is bounded.
-MAX_QUERIES = 100_000
+#: Numbers in the vectors of a block of queries, 8 bytes each; more queries go in several blocks.
+QUERY_NUMBERS = 1 << 23
 
 
 def knn(df: DataFrame, query, k: int, metric: str = vectors.DEFAULT_METRIC, vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
@@ -39,15 +40,19 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 def knn_batch(df: DataFrame, queries: DataFrame, k: int, metric: str = vectors.DEFAULT_METRIC, vector: str = "embedding", id_: str = "vec_id") -> DataFrame:
-    """(query_id, id, dist, rank) of the k rows nearest to each of a bounded number of queries.
+    """(query_id, id, dist, rank) of the k rows nearest to each query, block by block of a bounded size.
 
     Each task keeps the k nearest of its own rows for every query, so what is
     shuffled are k rows a task and query; ranks are then given per query.
     """
     vectors.distance(metric)
-    rows = queries.select(F.col(id_).cast("long").alias("q"), vectors.vector(vector).alias("v")).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise AnalysisFailure(f"more than {MAX_QUERIES} queries; deal them over several calls")
+    asked = queries.select(F.col(id_).cast("long").alias(id_), vectors.vector(vector).alias(vector))
+    size = asked.agg(F.sum(F.size(vector)).alias("n")).first()["n"] or 0
+    if size > QUERY_NUMBERS:
+        blocks = 2 * -(-size // QUERY_NUMBERS)  # by a hash, so none gets twice its share
+        part = F.pmod(F.xxhash64(id_), F.lit(blocks))
+        return reduce(DataFrame.unionByName, (knn_batch(df, asked.where(part == b), k, metric, vector, id_) for b in range(blocks)))
+    rows = asked.select(F.col(id_).alias("q"), F.col(vector).alias("v")).collect()
     if not rows:
         return df.sparkSession.createDataFrame([], "query_id long, id long, dist double, rank int")
     shared = df.sparkSession.sparkContext.broadcast((np.array([r.q for r in rows], np.int64), np.array([r.v for r in rows], np.float64)))

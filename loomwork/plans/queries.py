@@ -223,8 +223,10 @@ def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("knn_batch", _batch, BATCH_SQL)
 
 
-def graph(spark: SparkSession, sf_dir: str, metric: str = "euclidean", shards: int = 4) -> hnsw.Index:
-    return hnsw.build(embeddings(spark, sf_dir), shards, hnsw.Config(), metric, seed=42)
+def graph(spark: SparkSession, sf_dir: str, metric: str = "euclidean", rows: int = 4096) -> hnsw.Index:
+    """An index with about so many rows a shard, and four shards at least."""
+    data = embeddings(spark, sf_dir)
+    return hnsw.build(data, max(4, -(-data.count() // rows)), hnsw.Config(), metric, seed=42)
 
 
 def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +246,26 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("ann_full_ef", _ann, BATCH_SQL)
 _add("ann_recall_gate", _gate, "SELECT true AS ok")
 _add("hnsw_len", lambda spark, sf_dir: graph(spark, sf_dir).stats().select("num_nodes", (F.col("avg_neighbors_layer0") > 0).alias("linked")), "SELECT count(*) AS num_nodes, true AS linked FROM embeddings")
-_add("hnsw_stats", lambda spark, sf_dir: graph(spark, sf_dir).stats())
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of one graph with a narrow, the usual and a wide beam."""
+    queries, index = hundredths(spark, sf_dir), graph(spark, sf_dir)
+    truth = knn.knn_batch(embeddings(spark, sf_dir), queries, 10, "euclidean")
+    at = [knn.recall(index.search(queries, 10, ef), truth).first()["recall"] for ef in (10, 50, 100)]
+    return spark.createDataFrame([(at[1] >= 0.9, at[2] >= at[0])], "usual boolean, wider_is_no_worse boolean")
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics; of those that chance sets, whether they are as they must be."""
+    index = graph(spark, sf_dir)
+    entry = index.nodes.where("entry").select(F.col("id").alias("entry_point"), "level")
+    stats = index.stats().join(entry, "entry_point")
+    return stats.select("num_nodes", (F.col("level") == F.col("max_layer")).alias("entry_on_top"), F.col("avg_neighbors_layer0").between(1, index.config.m_max).alias("degree_in_bounds"), (F.col("entry_points") <= index.shards).alias("an_entry_a_shard"))
+
+
+_add("ann_ef_sweep", _sweep, "SELECT true AS usual, true AS wider_is_no_worse")
+_add("hnsw_stats", _stats, "SELECT count(*) AS num_nodes, true AS entry_on_top, true AS degree_in_bounds, true AS an_entry_a_shard FROM embeddings")
 _add("hnsw_get", lambda spark, sf_dir: graph(spark, sf_dir).get(7).select("id"), "SELECT vec_id AS id FROM embeddings WHERE vec_id = 7")
 _add("hnsw_degree_bound", lambda spark, sf_dir: graph(spark, sf_dir).crowded().select(F.col("src").alias("id")), "SELECT vec_id AS id FROM embeddings WHERE false")
 _add("hnsw_bidirectional", lambda spark, sf_dir: graph(spark, sf_dir).one_way().select(F.col("src").alias("id")), "SELECT vec_id AS id FROM embeddings WHERE false")

@@ -31,7 +31,7 @@ def test_dimensions_must_agree(spark):
         one(spark, vectors.euclidean, [1.0], [1.0, 2.0])
 
 
-@pytest.mark.parametrize(("n", "dims", "metric", "gate"), [(500, 16, "euclidean", 0.9), (300, 128, "cosine", 0.85), (50, 8, "euclidean", 1.0)])
+@pytest.mark.parametrize(("n", "dims", "metric", "gate"), [(500, 16, "euclidean", 0.9), (500, 32, "euclidean", 0.9), (300, 128, "cosine", 0.85), (50, 8, "euclidean", 1.0)])
 def test_recall_gates(spark, n, dims, metric, gate):
     rng = np.random.default_rng(42)
     frame = lambda m: spark.createDataFrame([(i, rng.random(dims).tolist()) for i in range(m)], "vec_id long, embedding array<double>")
@@ -57,3 +57,37 @@ def test_knn_leaves_out_null_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [r.id for r in knn.knn(df, [1.0, 0.1], 5, "euclidean").select("id").collect()] == [1, 3]
     assert df.select(F.max(vectors.dimensions("embedding"))).first()[0] == 2
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    data = spark.createDataFrame([(i, rng.random(8).tolist()) for i in range(60)], "vec_id long, embedding array<double>").cache()
+    index = hnsw.build(data, 2, hnsw.Config.small(), "euclidean", seed=3)
+    whole = [sorted(map(tuple, df.collect())) for df in (knn.knn_batch(data, data, 4), index.search(data, 4))]
+    monkeypatch.setattr(knn, "QUERY_NUMBERS", 200)
+    monkeypatch.setattr(hnsw, "QUERY_NUMBERS", 200)
+    assert whole == [sorted(map(tuple, df.collect())) for df in (knn.knn_batch(data, data, 4), index.search(data, 4))]
+
+
+def test_same_seed_same_graph(spark):
+    rng = np.random.default_rng(42)
+    data = spark.createDataFrame([(i, rng.random(8).tolist()) for i in range(100)], "vec_id long, embedding array<double>").cache()
+    query = spark.createDataFrame([(0, [0.5] * 8)], "vec_id long, embedding array<double>")
+    a, b = (hnsw.build(data, 1, hnsw.Config(), "euclidean", seed=555) for _ in range(2))
+    assert sorted(map(str, a.nodes.collect())) == sorted(map(str, b.nodes.collect()))
+    assert a.search(query, 5).collect() == b.search(query, 5).collect()
+    stats = a.stats().first()
+    assert stats.num_nodes == 100 and stats.entry_points == 1 and a.get(stats.entry_point).first().level == stats.max_layer
+
+
+def test_wider_beams_find_no_less():
+    rng = np.random.default_rng(42)
+    data, graph = rng.random((300, 16)), hnsw.Graph(hnsw.Config(), "euclidean", 777)
+    for i, v in enumerate(data):
+        graph.insert(i, v)
+    found = {ef: 0 for ef in (10, 100)}
+    for q in np.random.default_rng(99).random((10, 16)):
+        truth = set(np.argsort(((data - q) ** 2).sum(1))[:10].tolist())
+        for ef in found:
+            found[ef] += len(truth & {i for i, _ in graph.search(q, 10, ef)})
+    assert found[100] >= found[10]
