@@ -336,6 +336,17 @@ class _Spelled(_Aging):
 class Encoder:
     """Encodes whole texts; gives the ids as little-endian unsigned 32-bit integers."""
 
+    _kept: tuple[tuple, Encoder] | None = None
+
+    @classmethod
+    def load(cls, path: str, lexicon: bytes | None = None, most: int = MEMO_BYTES, classes: tuple[str, str, str] | None = None) -> Encoder:
+        """The worker's encoder, one at most, kept from task to task with the words it remembers."""
+        key = (path, hashlib.sha256(lexicon or b"").digest(), most)
+        if cls._kept is None or cls._kept[0] != key:
+            cls._kept = None
+            cls._kept = (key, cls(path, lexicon, most, classes))
+        return cls._kept[1]
+
     def __init__(self, path: str, lexicon: bytes | None = None, most: int = MEMO_BYTES, classes: tuple[str, str, str] | None = None):
         """classes: those of tables(), where another process has them already."""
         self.vocabulary = Vocabulary.load(path)
@@ -417,7 +428,7 @@ def encode_documents(docs: DataFrame, path: str, lexicon: bytes | None = None, k
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if keep_ids else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, shared.value if shared else None, classes=classes)
+        encoder = Encoder.load(path, shared.value if shared else None, classes=classes)
         sha = hashlib.sha256
         for batch in batches:
             doc_ids, texts = columns(batch, "doc_id", "text")

@@ -28,6 +28,8 @@ from .bpe import Encoder, columns, tables, tokenizer_path
 CAPACITY = 4096
 #: Full sequences of a window; bounds a task's memory at 4 bytes a token.
 WINDOW = 256
+#: Bytes of a generation of remembered words, about; a worker keeps two.
+MEMO = 96 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 Piece = tuple[int, int, int]  # document's number in the window's list, start, length
@@ -112,7 +114,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
     types, classes = [pa.int64()] * 7, tables()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, classes=classes)
+        encoder = Encoder.load(path, None, MEMO, classes)
         end = end_id.to_bytes(4, "little")
         held: list[tuple[int, bytes]] = []  # the window's documents
         todo: list[Piece] = []
