@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 kept, and returns a DataFrame; all but the last return the columns of documents.
+
+In every stage null texts count as empty and stay null; texts are read whole,
+however long; extra columns stay, whatever their names; an empty table gives no
+rows. Rows that repeat a doc_id are one document for the dedup stages: their
+lines don't remove one another, and all of them stay or go. Other stages take
+them one by one. Rows with a null doc_id are judged by their text, and the
+near-dedup stage keeps them. Of equals the smallest doc_id, and in a text the
+earliest line, stays.
 """
 
 from __future__ import annotations

@@ -10,11 +10,23 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from ..errors import EngineError
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path not used before, in spark.checkpoint.dir; in a local one only where that is unset."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a local one, if all executors are threads of this process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or tempfile.mkdtemp(prefix='loomwork-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if shared:
+        return shared
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise EngineError("spark.checkpoint.dir has to name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="loomwork-")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path not used before in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 _shipped: set[str] = set()
