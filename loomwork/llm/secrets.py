@@ -68,27 +68,26 @@ def _tested(found: Column, base: Column) -> Column:
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), plain.alias("token"), F.when(code == 0, ALPHABETS[0]).when(code == 1, ALPHABETS[1]).when(code == 3, ALPHABETS[3]).otherwise(ALPHABETS[2]).alias("alphabet"), code.alias("code"))
 
     def values(x: Column) -> Column:
-        chars = F.split(x["token"], "")
-        chars = F.filter(chars, lambda c: c != "")
+        chars = F.when(x["code"].isNotNull(), F.filter(F.split(x["token"], ""), lambda c: c != "")).otherwise(F.array().cast("array<string>"))
         numbers = F.transform(chars, lambda c: F.call_function("instr", x["alphabet"], c) - 1)
         counts = F.transform(F.array_distinct(chars), lambda c: F.char_length(x["token"]) - F.char_length(F.replace(x["token"], c, F.lit(""))))
         kinds = F.transform(chars, lambda c: F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["code"].alias("code"), F.char_length(x["alphabet"]).cast("double").alias("k"), F.size(chars).cast("double").alias("n"), numbers.alias("v"), counts.alias("counts"), kinds.alias("kinds"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["code"].alias("code"), F.char_length(x["alphabet"]).cast("double").alias("k"), F.char_length(x["token"]).cast("double").alias("n"), numbers.alias("v"), counts.alias("counts"), kinds.alias("kinds"))
 
     def total(array: Column, f=lambda v: v.cast("double")) -> Column:
         return F.aggregate(array, F.lit(0.0), lambda acc, v: acc + f(v))
 
     def changes(array: Column) -> Column:
-        return total(F.zip_with(F.slice(array, F.lit(2), F.size(array) - 1), F.slice(array, F.lit(1), F.size(array) - 1), lambda a, b: (a != b).cast("double")))
+        return total(F.zip_with(F.slice(array, F.lit(2), F.greatest(F.size(array) - 1, F.lit(0))), array, lambda a, b: F.coalesce((a != b).cast("double"), F.lit(0.0))))
 
     def measured(x: Column) -> Column:
         high = F.transform(x["v"], lambda v: (v >= x["k"] / 2).cast("int"))
-        mean = total(x["v"]) / x["n"]
-        products = total(F.zip_with(F.slice(x["v"], F.lit(2), F.size(x["v"]) - 1), F.slice(x["v"], F.lit(1), F.size(x["v"]) - 1), lambda a, b: (a - mean) * (b - mean)))
-        return F.struct(
+        pairs = F.zip_with(F.slice(x["v"], F.lit(2), F.greatest(F.size(x["v"]) - 1, F.lit(0))), x["v"], lambda a, b: F.coalesce(a.cast("double") * b, F.lit(0.0)))
+        return F.struct(  # sums only: a mean within a lambda would be made anew for each symbol
             x["start"].alias("start"), x["end"].alias("end"), x["code"].alias("code"), x["k"].alias("k"), x["n"].alias("n"),
-            total(x["counts"], lambda c: c.cast("double") * c).alias("squares"), total(high).alias("high"), changes(high).alias("runs"),
-            products.alias("products"), total(x["v"], lambda v: (v - mean) * (v - mean)).alias("spread"), changes(x["kinds"]).alias("changes"),
+            total(x["counts"], lambda c: c.cast("double") * c).alias("squares"), total(high).alias("high"), changes(high).alias("runs"), changes(x["kinds"]).alias("changes"),
+            total(x["v"]).alias("sum"), total(x["v"], lambda v: v.cast("double") * v).alias("square_sum"), total(pairs).alias("pair_sum"),
+            (F.coalesce(F.get(x["v"], F.lit(0)), F.lit(0)) + F.coalesce(F.get(x["v"], F.size(x["v"]) - 1), F.lit(0))).alias("ends"),
         )
 
     def judged(x: Column) -> Column:
@@ -96,7 +95,9 @@ def _tested(found: Column, base: Column) -> Column:
         chi = (k / n * x["squares"] - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
         both = 2 * x["high"] * (n - x["high"])
         runs = (x["runs"] + 1 - (both / n + 1)) / F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
-        serial = F.when(x["spread"] > 0, x["products"] / x["spread"] * F.sqrt(n)).otherwise(F.lit(99.0))
+        mean = x["sum"] / n
+        spread, products = x["square_sum"] - n * mean * mean, x["pair_sum"] - mean * (2 * x["sum"] - x["ends"]) + (n - 1) * mean * mean
+        serial = F.when(spread > 1e-6, products / spread * F.sqrt(n)).otherwise(F.lit(99.0))
         random = F.pow(F.greatest(chi, F.lit(0.0)), 2) + F.pow(runs, 2) + F.pow(serial, 2) <= PASS
         pairs = (x["squares"] - n) / 2
         expected = F.when(x["code"] == 0, 2 * EQUAL).otherwise(EQUAL) * n * (n - 1) / 2
