@@ -89,7 +89,8 @@ def fit(rows: list[list[int]], labels: np.ndarray, n: int, twins: list[tuple[lis
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[dict[str, float], float]:
     """Weights by feature, and the bias. labels: doc_id, toxic; at most about max_train of its rows are used.
 
-    With no usable label the score is that of the bias, 0.5 / 1.
+    With labels of one kind only, or none, the score is that of the bias, which
+    is below 0.5 without labels: nothing is toxic without evidence.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -122,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     ends = seen.where("feature = ''").first() or {"neg": 0, "pos": 0}
     n0, n1 = ends["neg"], ends["pos"]
     if not n0 or not n1:
-        return {}, 0.0
+        return {}, math.log((n1 + 1) / (n0 + 2))
     n, share = F.col("pos") + F.col("neg"), n1 / (n0 + n1)
 
     def part(count: str, expected: float):
