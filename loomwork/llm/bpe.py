@@ -12,6 +12,7 @@ file and memory-mapped. Words outside it are merged exactly by rank.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import re
@@ -105,6 +106,8 @@ def tables() -> tuple[str, str, str]:
     return found(r"\p{L}+", ascii_letters), found(r"\p{N}+", digits), _class(sorted(odd))
 
 
+#: Bytes of a word beyond which merges come from a heap.
+LONG = 128
 #: In place of a rank: the pair is never merged.
 NEVER = 1 << 60
 
@@ -159,6 +162,8 @@ class Vocabulary:
         data = word.encode("utf-8", "surrogatepass")
         parts = [*map(self.inner.__getitem__, data)]
         parts[-1] = self.last[data[-1]]
+        if len(parts) > LONG:
+            return self._merge_long(parts)
         rank, never = self.ranks.get, NEVER
         at = [row[b] for row, b in zip(map(self.pairs.__getitem__, data), data[1:])]
         if at:
@@ -176,6 +181,30 @@ class Vocabulary:
                 at[k] = rank(joined << 20 | parts[k + 1], never)
         return tuple(parts)
 
+    def _merge_long(self, parts: list[int]) -> tuple[int, ...]:
+        """The same merges from a heap of pairs, in time n log n; what a merge has made stale is passed over."""
+        rank, n = self.ranks.get, len(parts)
+        after, before, gone = [*range(1, n + 1)], [*range(-1, n - 1)], bytearray(n)
+
+        def pair(k: int) -> tuple[int, int] | None:
+            found = rank(parts[k] << 20 | parts[after[k]], NEVER) if k >= 0 and after[k] < n else NEVER
+            return (found, k) if found != NEVER else None
+
+        heap = [x for k in range(n - 1) if (x := pair(k))]
+        heapq.heapify(heap)
+        while heap:
+            low, k = heapq.heappop(heap)
+            if gone[k] or pair(k) != (low, k):
+                continue
+            right = after[k]
+            parts[k], after[k], gone[right] = low & 0xFFFFF, after[right], 1
+            if after[k] < n:
+                before[after[k]] = k
+            for x in (pair(before[k]), pair(k)):
+                if x:
+                    heapq.heappush(heap, x)
+        return tuple(p for p, out in zip(parts, gone) if not out)
+
 
 def compile_lexicon(entries: dict[str, tuple[int, ...]]) -> bytes:
     """The minimal acyclic transducer of the words as bytes.

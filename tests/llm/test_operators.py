@@ -6,6 +6,7 @@ import math
 import random
 import struct
 import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -224,6 +225,13 @@ def test_chat(spark):
     assert chat.format_conversations(df.where("false")).isEmpty()
 
 
+def test_chat_ignores_columns_whose_names_clash(spark):
+    names = ("formatted", "escaped", "turns", "n_turns", "loss_chars", "piece", "digest")
+    df = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "</s> there")], "conv_id long, turn long, role string, text string")
+    more = df.withColumns({n: F.lit("x") for n in names})
+    assert chat.digests(chat.format_conversations(more)).collect() == chat.digests(chat.format_conversations(df)).collect()
+
+
 def test_a_text_without_control_strings_stays_as_it_is(spark):
     df = spark.createDataFrame([(1, 0, "user", "a \\ b"), (1, 1, "assistant", "c")], "conv_id long, turn long, role string, text string")
     r = chat.format_conversations(df).first()
@@ -263,6 +271,19 @@ def test_every_code_point_is_encoded_as_in_the_library(tokenizer):
     assert not [r for r, x in zip(rows, found) if encoder.encode(r) != struct.pack(f"<{len(x.ids)}I", *x.ids)]
 
 
+def test_very_long_words(tokenizer):
+    rng = random.Random(13)
+    words = ["x" * 200_000, "".join(rng.choice("etaoinshrdlu") for _ in range(100_000)), "".join(rng.choice("ab") for _ in range(300)), "日本語" * 5000, "!" * 30_000]
+    for word in [*words, " ".join(words)]:
+        assert bpe.Encoder(PATH).encode(word) == ids_of(tokenizer)(word)
+    vocabulary = bpe.Vocabulary.load(PATH)
+    for n in (2, 5, 40, 127):
+        word = "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+        parts = [*map(vocabulary.inner.__getitem__, word.encode())]
+        parts[-1] = vocabulary.last[ord(word[-1])]
+        assert vocabulary._merge_long(parts) == vocabulary.merge(word)
+
+
 def test_remembered_words_stay_bounded():
     encoder = bpe.Encoder(PATH, most=20_000)
     text = " ".join(f"word{k}" for k in range(5000))
@@ -357,7 +378,27 @@ def test_toxicity(spark, odd, empty):
     clean = toxicity.keep_clean(docs, labels)
     assert clean.schema.simpleString() == docs.schema.simpleString() and clean.count() == sum(1 - r.predicted for r in got)
     assert toxicity.score_documents(odd, weights, bias).count() == 6 and toxicity.score_documents(empty, weights, bias).isEmpty()
-    assert toxicity.trained(odd, labels.where("false")) == ({}, 0.0) and toxicity.keep_clean(empty, labels).isEmpty()
+    assert toxicity.trained(odd, labels.where("false")) == ({}, math.log(0.5)) and toxicity.keep_clean(odd, labels.where("false")).count() == 6 and toxicity.keep_clean(empty, labels).isEmpty()
+
+
+def test_scores_equal_a_plain_sum_over_words(spark):
+    docs, labels = labelled(spark)
+    weights, bias = toxicity.trained(docs, labels)
+    for r in toxicity.score_documents(docs, weights, bias).join(docs.select("doc_id", "text"), "doc_id").collect():
+        z = bias + sum(weights.get(f, 0.0) for w in set(r.text.split()) for f in [w, *("^" + w[:k] for k in (3, 4, 5, 6) if len(w) >= k)])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_penalty_makes_neutral_mentions_count_less(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    scores = {}
+    for penalty in (0.0, toxicity.COUNTERFACTUAL):
+        monkeypatch.setattr(toxicity, "COUNTERFACTUAL", penalty)
+        weights, bias = toxicity.trained(docs, labels)
+        rows = frame(spark, [(k, f"bread {w} river stone") for k, w in enumerate(("women", "muslims", "gay", "old", "plain"))])
+        found = {r.doc_id: r.score for r in toxicity.score_documents(rows, weights, bias).collect()}
+        scores[penalty] = [found[k] - found[4] for k in range(4)]
+    assert sum(scores[toxicity.COUNTERFACTUAL]) < 0.5 * sum(scores[0.0]) and sum(scores[0.0]) > 0.05
 
 
 def test_held_out_labels_are_never_learned(spark):
