@@ -401,6 +401,25 @@ def test_penalty_makes_neutral_mentions_count_less(spark, monkeypatch):
     assert sum(scores[toxicity.COUNTERFACTUAL]) < 0.5 * sum(scores[0.0]) and sum(scores[0.0]) > 0.05
 
 
+def test_fit_equals_the_same_steps_over_dense_tables():
+    rng, n = np.random.default_rng(3), 12
+    rows = [sorted(rng.integers(0, n - 1, rng.integers(0, 6)).tolist()) for _ in range(60)]  # empty rows, repeats, a feature that none holds
+    labels = rng.integers(0, 2, 60).astype(float)
+    twins = [(x, sorted([*x[1:], int(rng.integers(0, n))])) for x in rows if x][:20] * 2 + [([1, 2], [1, 2])]
+    table = lambda lists: np.array([np.bincount(np.array(x, int), minlength=n) for x in lists], float)
+    x, d = table(rows), table([a for a, _ in twins]) - table([b for _, b in twins])
+    for kept, change in ((twins, d), ([], np.zeros((1, n)))):
+        w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+        w[n] = math.log((labels.sum() + 1) / (60 - labels.sum() + 1))
+        for k in range(1, 101):
+            off = 1 / (1 + np.exp(-(x @ w[:n] + w[n]))) - labels
+            g = np.append(x.T @ off / 60 + 2 * toxicity.COUNTERFACTUAL * change.T @ (change @ w[:n]) / len(change) + toxicity.RIDGE * w[:n], off.mean())
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8) * min(1, 2 - 2 * k / 100)
+        assert np.allclose(toxicity.fit(rows, labels, n, kept, rounds=100), w, atol=1e-6)
+    assert np.isfinite(toxicity.fit([[]], np.array([1.0]), 0, [])).all()
+
+
 def test_held_out_labels_are_never_learned(spark):
     docs, labels = labelled(spark)
     other = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
