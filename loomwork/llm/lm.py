@@ -6,20 +6,28 @@ the n-gram; the partition adds the counts up and sends the sums back, in the
 order of the n-grams' hashes; the batch joins them to its documents' n-grams
 and sums per document. So a frequent n-gram is pre-aggregated to one number a
 batch, no partition or batch grows with the input (their number does), and only
-counts are shuffled, besides the batches' texts.
+counts are shuffled, besides the batches' texts. All of these are packed: texts
+compressed by the rows that a task deals to a batch, sorted hashes as their
+differences and counts as byte planes, the planes that aren't random compressed.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import struct
+import zlib
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ship, table, text_of
+from .base import light, ship, table, text_of
 
 #: Characters of a batch, as the mean; bounds what a task holds.
 BATCH_CHARS = 8_000_000
@@ -27,22 +35,13 @@ BACKOFF = 0.4
 #: Words of the longest n-gram of op8_lm.
 ORDER = 3
 SEED = 11
+#: Low bytes of the differences of a batch's sorted hashes that are as good as random.
+RANDOM_BYTES = 5
 _START = np.uint64(xxhash.xxh64_intdigest(b"start of text", 1))
 _TOTAL = np.uint64(xxhash.xxh64_intdigest(b"total of tokens", 1))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = xxhash.xxh64_intdigest(word, SEED)
-        if len(self) < 300_000:
-            self[word] = out
-        return out
-
-
-_hashes = _Hashes()
-
-
 def tokens(text: str | None) -> list[bytes]:
     """Words between ASCII white space with A-Z in lower case."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -57,10 +56,10 @@ def _bigrams(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _read(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, the hashes of the words before, document numbers, documents' lengths."""
-    get, parts = _hashes.__getitem__, []
+    parts = []
     for text in texts:
         words = tokens(text)
-        parts.append(np.fromiter(map(get, words), np.uint64, len(words)))
+        parts.append(np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words)))
     sizes = np.array([len(p) for p in parts], np.int64)
     words = np.concatenate(parts) if parts else np.array([], np.uint64)
     before = np.empty_like(words)
@@ -93,6 +92,54 @@ def _keys(words: np.ndarray, pairs: np.ndarray, longer: list[tuple[np.ndarray, n
     return keys[order], counts[order].astype(np.int64)
 
 
+def packed(numbers: np.ndarray, random: int = 0) -> bytes:
+    """Unsigned numbers by byte planes, the lowest first; all but the random lowest ones are compressed."""
+    numbers = numbers.astype("<u8")
+    width = max(random, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = numbers.view(np.uint8).reshape(-1, 8).T
+    squeeze = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return struct.pack("<IB", len(numbers), width) + planes[:random].tobytes() + squeeze.compress(planes[random:width].tobytes()) + squeeze.flush()
+
+
+def unpacked(data: bytes, random: int = 0) -> np.ndarray:
+    """The numbers that packed was given."""
+    n, width = struct.unpack_from("<IB", data)
+    out, at = np.zeros((n, 8), np.uint8), 5 + n * random
+    out[:, :random] = np.frombuffer(data, np.uint8, n * random, 5).reshape(random, n).T
+    out[:, random:width] = np.frombuffer(zlib.decompress(data[at:]), np.uint8).reshape(width - random, n).T
+    return out.view("<u8").reshape(n)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    return packed(np.diff(keys, prepend=np.uint64(0)), RANDOM_BYTES)
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, RANDOM_BYTES), dtype=np.uint64)
+
+
+def _deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (batch, doc_id, text) as one compressed row (batch, size, rows) for each batch that they go to."""
+    squeeze = pa.Codec("zstd", 3)
+    for rows in batches:
+        to, order = rows.column(0).to_numpy(), np.argsort(rows.column(0).to_numpy(), kind="stable")
+        rows, (numbers, starts) = rows.take(pa.array(order)), np.unique(to[order], return_index=True)
+        ids, texts = rows.column(1), rows.column(2)
+        data = [pickle.dumps((ids[s:e].to_pylist(), texts[s:e].to_pylist()), 5) for s, e in zip(starts, [*starts[1:], len(order)])]
+        told = [pa.array(numbers, pa.int64()), pa.array([len(x) for x in data], pa.int64()), pa.array([squeeze.compress(x, asbytes=True) for x in data], pa.binary())]
+        yield pa.RecordBatch.from_arrays(told, ["batch", "size", "rows"])
+
+
+def _dealt(pdf: pd.DataFrame) -> tuple[list[int | None], list[str]]:
+    """The doc_ids and texts of a batch."""
+    ids, texts = [], []
+    for size, data in zip(pdf["size"], pdf["rows"]):
+        some_ids, some_texts = pickle.loads(pa.decompress(data, size, "zstd", asbytes=True))
+        ids += some_ids
+        texts += some_texts
+    return ids, texts
+
+
 def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS, order: int = 2) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, log_score (sum of natural logarithms), mean_log_score.
 
@@ -111,64 +158,64 @@ def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS, order: int
     shift = np.uint64(64 - bits)
     doc_id = F.col("doc_id").cast("long")
     batch = F.pmod(F.xxhash64(doc_id, text_of()), F.lit(batches))  # of the row alone, so that a stage that runs again deals alike
-    rows = docs.select(batch.alias("batch"), doc_id.alias("doc_id"), text_of().alias("text"))
+    rows = docs.select(batch.alias("batch"), doc_id.alias("doc_id"), text_of().alias("text")).mapInArrow(light(_deal), "batch long, size long, rows binary")
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        words, before, _, sizes = _read(pdf["text"].tolist())
+        _, texts = _dealt(pdf)
+        words, before, _, sizes = _read(texts)
         pairs = _bigrams(before, words)
-        keys, counts = _keys(words, pairs, _longer(words, pairs, sizes, order), len(pdf))
+        keys, counts = _keys(words, pairs, _longer(words, pairs, sizes, order), len(texts))
         parts, starts = np.unique(keys >> shift, return_index=True)
         ends = [*starts[1:], len(keys)]
         batch = int(pdf["batch"].iloc[0])
         return pd.DataFrame({
             "part": parts.astype(np.int64), "batch": batch,
-            "keys": [keys[s:e].tobytes() for s, e in zip(starts, ends)],
-            "counts": [counts[s:e].astype(np.uint32).tobytes() for s, e in zip(starts, ends)],
+            "keys": [_packed_keys(keys[s:e]) for s, e in zip(starts, ends)],
+            "counts": [packed(counts[s:e]) for s, e in zip(starts, ends)],
         })
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in pdf["keys"]]
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]]).astype(np.int64)
+        keys = [_unpacked_keys(k) for k in pdf["keys"]]
+        counts = np.concatenate([unpacked(c) for c in pdf["counts"]])
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(at, counts).astype(np.int64)[at]
         ends = np.cumsum([len(k) for k in keys])
-        return pd.DataFrame({"part": pdf["part"], "batch": pdf["batch"], "sums": [s.tobytes() for s in np.split(sums, ends[:-1])]})
+        return pd.DataFrame({"part": pdf["part"], "batch": pdf["batch"], "sums": [packed(s) for s in np.split(sums, ends[:-1])]})
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        words, before, doc, sizes = _read(left["text"].tolist())
+        ids, texts = _dealt(left)
+        words, before, doc, sizes = _read(texts)
         pairs = _bigrams(before, words)
         longer = _longer(words, pairs, sizes, order)
-        keys, _ = _keys(words, pairs, longer, len(left))
-        sums = np.concatenate([np.frombuffer(s, np.int64) for s in right.sort_values("part")["sums"]] or [np.array([], np.int64)])
-        if len(sums) != len(keys):
+        sums = np.concatenate([unpacked(s) for s in right.sort_values("part")["sums"]] or [np.array([], np.uint64)]).astype(np.int64)
+
+        # all n-grams in the order of their hashes: of equal ones those of a document stand together
+        hashes = np.concatenate([words, pairs, *(grams for _, grams in longer), np.array([_START, _TOTAL])])
+        of = np.concatenate([doc, doc, *(doc[where] for where, _ in longer), [-1, -1]]).astype(np.int32)
+        by = np.argsort(hashes, kind="stable")
+        hashes, of = hashes[by], of[by]
+        new = np.append(True, hashes[1:] != hashes[:-1])
+        if len(sums) != new.sum():
             raise ValueError("a batch changed between two readings of the input")
-
-        def others(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Counts of the n-grams in all rows but the one that they stand in; here: those in that row."""
-            at = np.searchsorted(keys, hashes)
-            _, own, here = np.unique(doc * len(keys) + at, return_inverse=True, return_counts=True)
-            return sums[at] - here[own], at
-
-        pair, _ = others(pairs, doc)
-        single, at = others(words, doc)
-        total = int(sums[np.searchsorted(keys, _TOTAL)])
-        context = sums[np.searchsorted(keys, before)].astype(np.float64)
-        slot = np.searchsorted(keys, before)
-        own_words, n_own = np.unique(doc * len(keys) + at, return_counts=True)
-        wanted = doc * len(keys) + slot
-        found = np.minimum(np.searchsorted(own_words, wanted), max(0, len(own_words) - 1))
-        own = np.where(own_words[found] == wanted, n_own[found], 0) if len(own_words) else np.zeros(0, np.int64)
-        context -= np.where(before == _START, 1, own)
+        run = np.cumsum(np.append(True, new[1:] | (of[1:] != of[:-1]))) - 1
+        others = np.empty(len(by), np.int64)  # counts of the n-grams in all rows but the one that they stand in
+        others[by] = sums[np.cumsum(new) - 1] - np.bincount(run)[run]
+        del hashes, of, by, new, run
+
+        single, pair, at = others[: len(words)], others[len(words) : 2 * len(words)], 2 * len(words)
+        total = int(others[-1]) + 1  # less one, as the row of _TOTAL has been taken for a document's
+        context = np.append(0, single[:-1])[: len(words)].astype(np.float64)
+        context[before == _START] = others[-2]
         rest = np.maximum(1, total - sizes[doc]).astype(np.float64)
         value = np.where(pair > 0, pair / np.maximum(context, 1), BACKOFF * np.maximum(single, 1) / rest)
         less = pair
         for where, grams in longer:
-            more, _ = others(grams, doc[where])
+            more, at = others[at : at + len(grams)], at + len(grams)
             value[where] = np.where(more > 0, more / np.maximum(less[where - 1], 1), BACKOFF * value[where])
             less = np.zeros_like(pair)
             less[where] = more
-        log = np.bincount(doc, np.log(value), minlength=len(left)) if len(words) else np.zeros(len(left))
-        return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "n_tokens": sizes, "log_score": log, "mean_log_score": np.where(sizes > 0, log / np.maximum(sizes, 1), np.nan)})
+        log = np.bincount(doc, np.log(value), minlength=len(texts)) if len(words) else np.zeros(len(texts))
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": sizes, "log_score": log, "mean_log_score": np.where(sizes > 0, log / np.maximum(sizes, 1), np.nan)})
 
     ship(docs.sparkSession)
     asked = rows.groupBy("batch").applyInPandas(ask, "part long, batch long, keys binary, counts binary")

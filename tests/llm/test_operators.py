@@ -346,6 +346,33 @@ def test_language_model_of_longer_ngrams(spark, docs, odd, empty):
     assert two[7] - three[7] > two[1] - three[1] > 0
 
 
+def test_language_model_packs_what_it_shuffles(spark):
+    """Over a table whose n-grams are all but distinct, bytes through shuffles by words; unpacked they were 28."""
+    rng = random.Random(8)
+    names = ["".join(rng.choices("aeioumnrstdlkp", k=rng.randint(2, 8))) for _ in range(20_000)]
+    rows = [(k, " ".join(rng.choices(names, k=1000))) for k in range(200)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled() -> int:
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = shuffled()
+    assert lm.score_documents(frame(spark, rows), 200_000, order=3).count() == 200
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < (shuffled() - before) / 200_000 < 24
+
+
+@pytest.mark.parametrize("random_bytes", [0, 5])
+def test_packed_numbers_come_back(random_bytes):
+    rng = np.random.default_rng(5)
+    for numbers in ([], [0], [2**64 - 1], [0, 1, 255, 256, 2**40, 2**63], rng.integers(0, 2**64, 3000, np.uint64), rng.integers(0, 3, 100_000)):
+        numbers = np.array(numbers, np.uint64)
+        assert np.array_equal(lm.unpacked(lm.packed(numbers, random_bytes), random_bytes), numbers)
+    assert len(lm.packed(np.ones(100_000, np.uint64))) < 1000
+
+
 # 9: toxicity
 
 
