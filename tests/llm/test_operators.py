@@ -35,6 +35,14 @@ def ids_of(tokenizer):
 # 1: lines
 
 
+def test_lines_with_a_word(spark):
+    """Only ASCII white space is blank, wherever it stands."""
+    firsts = [chr(k) for k in range(10)] + [chr(k) for k in range(11, 34)] + ["\x7f", "\x85", "\xa0", "\u2028", "\u3000", "é", "😀"]
+    text = "\n".join([x + y for x in ["", *firsts] for y in ("", " ", "\t", "a")])
+    got = {r.line_no for r in lines.lines_of(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert got == {k for k, x in enumerate(text.split("\n")) if x.strip(" \t\n\x0b\x0c\r")}
+
+
 def test_lines(docs):
     got = {r.doc_id: r for r in lines.summary(lines.decide(docs), docs).collect()}
     expected = {i: {} for i, _ in corpus()} | brute.removed_lines(corpus())
