@@ -152,6 +152,7 @@ def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS, order: int
     and null doc_ids are scored row by row; other columns are ignored; an empty
     table gives no rows.
     """
+    ship(docs.sparkSession)  # before the first function that workers run
     size = docs.agg(F.sum(F.length(text_of())).alias("n"), F.count(F.lit(1)).alias("rows")).first()
     batches = max(1, math.ceil((size["n"] or 0) / batch_chars), math.ceil(size["rows"] / 100_000))
     bits = max(2, math.ceil(math.log2(batches)))
@@ -217,7 +218,6 @@ def score_documents(docs: DataFrame, batch_chars: int = BATCH_CHARS, order: int
         log = np.bincount(doc, np.log(value), minlength=len(texts)) if len(words) else np.zeros(len(texts))
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": sizes, "log_score": log, "mean_log_score": np.where(sizes > 0, log / np.maximum(sizes, 1), np.nan)})
 
-    ship(docs.sparkSession)
     asked = rows.groupBy("batch").applyInPandas(ask, "part long, batch long, keys binary, counts binary")
     told = asked.groupBy("part").applyInPandas(count, "part long, batch long, sums binary")
     out = rows.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(score, "doc_id long, n_tokens long, log_score double, mean_log_score double")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import struct
+import subprocess
+import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -372,6 +375,19 @@ def test_language_model_packs_what_it_shuffles(spark):
     assert 0 < (shuffled() - before) / 200_000 < 24
 
 
+def test_language_model_where_workers_lack_the_package(sf_dir, tmp_path):
+    """The package is on the driver's path only, and has to be sent before the first function."""
+    run = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.abspath(lm.__file__)).removesuffix("/loomwork/llm")!r})
+from pyspark.sql import SparkSession
+from loomwork.llm import lm
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+assert lm.op8_lm(spark, {sf_dir!r}).collect()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", run], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
 @pytest.mark.parametrize("random_bytes", [0, 5])
 def test_packed_numbers_come_back(random_bytes):
     rng = np.random.default_rng(5)
