@@ -176,7 +176,8 @@ def shards(points: DataFrame, n: int, radius: int, shard: int, most: int) -> Dat
 
     dealt = points.select("fp", F.explode(F.array(*[key(k, mask) for k, mask in enumerate(masks)])).alias("shard"))
     large = dealt.groupBy("shard").count().where(F.col("count") > most).select("shard", F.ceil(F.col("count") / most).cast("int").alias("parts"))
-    dealt = bounded(dealt, cut(large), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    large = cut(large, n * len(masks) // most)  # there are no more
+    dealt = bounded(dealt, large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     return dealt.select("fp", "shard", "part", other).select("fp", "shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part")
@@ -207,13 +208,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     Other columns are ignored; an empty table gives no rows.
     """
     prints = cut(fingerprints(docs, shingle))
-    points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), prints.count())
+    n = points.count()
 
     found = stars(points, radius, shard, most)
     # component ids are doc_ids: a point stands by the smallest doc_id of its class
     ids = points.select(F.col("fp").alias("a"), F.col("rep").alias("ra"))
     edges = found.join(ids, "a").join(ids.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b")
-    joined = components(edges.select("ra", "rb"), "ra", "rb")
+    joined = components(edges.select("ra", "rb"), "ra", "rb", n)
     classes = points.join(joined, points.rep == joined.id, "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

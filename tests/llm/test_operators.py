@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomwork.llm import ann, bpe, chat, components, lines, lm, packing, quality, secrets, simhash, toxicity
+from loomwork.llm import ann, base, bpe, chat, components, lines, lm, packing, quality, secrets, simhash, toxicity
 
 from . import brute
 from .conftest import SCHEMA, corpus, frame
@@ -180,6 +180,27 @@ def test_shards_lose_no_link_and_visits_stay_bounded(spark):
     assert parts.groupBy("i", "j").count().agg(F.max("count")).first()[0] < 1000
 
 
+def test_small_tables_are_written_in_few_files(spark, docs, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, counts = {k: spark.conf.get(k) for k in held}, []
+
+    def counted(df, *args, cut=base.cut):
+        out = cut(df, *args)
+        counts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    monkeypatch.setattr(components, "cut", counted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        simhash.near_duplicates(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(counts) > 5 and max(counts) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)]
