@@ -56,6 +56,15 @@ def test_lines(docs):
     assert sum(r.n_near for r in got.values()) > 0
 
 
+def test_ranks_are_not_printed_in_plans(spark, docs):
+    every = lines.lines_of(docs)
+    ranks, _ = lines.rarity(every)
+    sets = lines._sets(every, ranks)
+    assert len(sets._jdf.queryExecution().toString()) < 50_000
+    numbers = [5, -(2**63), 2**63 - 1, 0]
+    assert spark.range(1).select(lines._constant(spark, numbers).alias("x")).first()["x"] == numbers
+
+
 def test_lines_taken_out(docs, texts, odd, empty):
     out = lines.remove_lines(docs)
     assert out.schema.simpleString() == docs.schema.simpleString()
