@@ -8,6 +8,7 @@ import random
 import struct
 import subprocess
 import sys
+import timeit
 import unicodedata
 import zlib
 from collections import Counter
@@ -312,6 +313,19 @@ def test_every_code_point_is_encoded_as_in_the_library(tokenizer):
     assert not [r for r, x in zip(rows, found) if encoder.encode(r) != struct.pack(f"<{len(x.ids)}I", *x.ids)]
 
 
+def test_classes_are_cut_to_the_range_of_a_text():
+    """Same words, in much less than the time that going through the ranges beyond takes."""
+    letters, numbers, _ = bpe.tables()
+    whole, cut = bpe.word_pattern(letters, numbers).findall, bpe.word_finder(letters, numbers)
+    rng, pool = random.Random(1), [*"aZéß1½,$#' \x1c\x85\u3000\u0301数１😀\U00010400\U0001d7ce", "'s", "'re"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))
+        assert cut(text) == whole(text), text
+    for text in ("word," * 20_000, "çoule," * 20_000):
+        took = [min(timeit.repeat(lambda f=f, text=text: f(text), number=1, repeat=5)) for f in (whole, cut)]
+        assert took[1] < 0.7 * took[0], took
+
+
 def test_very_long_words(tokenizer):
     rng = random.Random(13)
     words = ["x" * 200_000, "".join(rng.choice("etaoinshrdlu") for _ in range(100_000)), "".join(rng.choice("ab") for _ in range(300)), "日本語" * 5000, "!" * 30_000]
