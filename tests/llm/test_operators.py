@@ -294,6 +294,22 @@ def test_bpe(docs, texts, odd, empty, tokenizer):
     assert bpe.encode_documents(odd, PATH).count() == 6 and bpe.encode_documents(empty, PATH, bpe.build_lexicon(empty, PATH)).isEmpty()
 
 
+def test_words_are_counted_once_and_handed_on_as_sums(docs, texts, monkeypatch):
+    letters, every = bpe.tables()[0], [text or "" for text in texts.values()]
+    plain = Counter(w for text in every for w in bpe.letters_pattern(letters).findall(text.lower()))
+    for share, most in ((1 << 40, 1 << 40), (64, 1 << 40), (1 << 40, 500), (64, 500)):
+        parts = [*bpe.count_words(every, letters, share, most)]
+        assert (len(parts) > 1) == (most == 500) and all(len(part) <= min(share, most + max(map(len, every))) + 1 for part in parts)
+        summed = sum(map(Counter, parts), Counter())
+        total = summed.pop("")
+        assert all(n - total / share < summed[w] <= n for w, n in plain.items())
+    plans, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: (collect(self), plans.append(self._jdf.queryExecution().executedPlan().toString()))[0])
+    words = set(bpe.frequent_words(docs, 200))
+    assert {w for w, n in plain.items() if n * 180 >= total} <= words and all(plain[w] * 200 >= total for w in words)
+    assert "ReusedExchange" in plans[-1] and "Generate" not in plans[-1]
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w: (k, k + 1) for k, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops", "a", "Ω"])}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words))
