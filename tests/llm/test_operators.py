@@ -66,6 +66,54 @@ def test_ranks_are_not_printed_in_plans(spark, docs):
     assert spark.range(1).select(lines._constant(spark, numbers).alias("x")).first()["x"] == numbers
 
 
+def test_shingles_are_known_not_to_be_null(spark, docs):
+    """Else Spark sorts them as boxed numbers."""
+    every = lines.lines_of(docs)
+    assert not lines._sets(every, lines.rarity(every)[0]).schema["set"].dataType.containsNull
+
+
+def test_documents_of_places(spark):
+    ids, numbers = [None, -(2**63) + 1, -2, -1, 0, 1, 2**63 - 1], [0, 1, 2**31 - 1]
+    rows = spark.createDataFrame([(i, k) for i in ids for k in numbers], "doc_id long, line_no int")
+    assert [r.doc for r in rows.select(lines._document(lines.place()).alias("doc")).collect()] == [-(2**63) if i is None else i for i in ids for _ in numbers]
+
+
+@pytest.mark.parametrize("sample", [1, lines.SAMPLE])
+def test_lines_near_the_bound(spark, monkeypatch, sample):
+    """Copies with a few words changed, and common passages, at all sizes; ranks, if need be of none or few lines, change no result."""
+    rng = random.Random(5)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 3000}"
+    passages = [[word() for _ in range(25)] for _ in range(3)]
+    every = []
+    for size in [*range(1, 30), *range(30, 90, 5)]:
+        first = [word() for _ in range(size)]
+        mixed = first + rng.choice(passages)
+        for base in (first, mixed):
+            every.append(base)
+            for _ in range(6):
+                other = list(base)
+                for _ in range(rng.randint(0, 1 + size // 25)):
+                    at = rng.randrange(len(other))
+                    other[at : at + rng.randint(0, 1)] = [word()] * rng.randint(0, 2)
+                every.append(other or ["x"])
+    rng.shuffle(every)
+    rows = [(k - 50, "\n".join(" ".join(x) for x in every[7 * k : 7 * k + 7])) for k in range(-(-len(every) // 7))]
+    expected = brute.removed_lines(rows)
+    assert sum(x == "near" for gone in expected.values() for x in gone.values()) > 50
+    monkeypatch.setattr(lines, "SAMPLE", sample)
+    got = lines.decide(spark.createDataFrame(rows, "doc_id long, text string")).where("exact or near").collect()
+    assert {(r.doc_id, r.line_no): "exact" if r.exact else "near" for r in got} == {(i, k): x for i, gone in expected.items() for k, x in gone.items()}
+
+
+def test_lines_with_little_in_common_are_not_verified(spark):
+    """Lines that share one rare shingle of a prefix and else nothing."""
+    rows = spark.createDataFrame([(t, h, h, float(h), 40, 0, 1 if h < 3 else 5, 9, h) for t, h in ((5, 1), (5, 2), (9, 3), (9, 4), (8, 3), (8, 4), (7, 3), (7, 4), (6, 3), (6, 4), (4, 3), (4, 4))], "token long, h long, g long, place double, n int, pos int, c int, last long, doc long")
+    others = rows.select("token", F.struct("place", "h", "g", "n", "pos", "c", "last", "doc").alias("o"))
+    assert {(r.h, r.o_h) for r in lines._candidates(rows, others, 0.8).collect()} == {(4, 3)}
+    lead = rows.groupBy("token").agg(F.min(F.struct("place", "h", "g", "n", "pos", "c", "last", "doc")).alias("o"))
+    assert {(r.h, r.o_h) for r in lines._led(rows, lead, 0.8).collect()} == {(4, 3)}
+
+
 def test_lines_taken_out(docs, texts, odd, empty):
     out = lines.remove_lines(docs)
     assert out.schema.simpleString() == docs.schema.simpleString()
