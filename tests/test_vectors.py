@@ -91,3 +91,46 @@ def test_wider_beams_find_no_less():
         for ef in found:
             found[ef] += len(truth & {i for i, _ in graph.search(q, 10, ef)})
     assert found[100] >= found[10]
+
+
+def test_a_beam_as_wide_as_the_graph_meets_groups_without_links_between_them():
+    rng = np.random.default_rng(3)
+    data, graph = rng.random((120, 8)) * 1e-3 + 10.0 * (np.arange(120) % 2)[:, None], hnsw.Graph(hnsw.Config(), "euclidean", 5)
+    for i, v in enumerate(data):
+        graph.insert(i, v)
+    truth = np.argsort(((data - data[1]) ** 2).sum(1), kind="stable")[:100].tolist()
+    assert [i for i, _ in graph.search(data[1], 100, 120)] == truth
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_copies_tie_by_id(spark, metric):
+    rng = np.random.default_rng(4)
+    rows = np.tile(rng.standard_normal((40, 33)), (9, 1)).tolist()
+    data = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").coalesce(1)
+    found = knn.knn_batch(data, data.where("vec_id < 7"), 9, metric).orderBy("query_id", "rank").collect()
+    one_by_one = [(q, r.id) for q in range(7) for r in knn.knn(data, rows[q], 9, metric).collect()]
+    assert [(r.query_id, r.id) for r in found] == one_by_one
+
+
+def test_graphs_are_built_and_searched_in_blocks(monkeypatch):
+    calls = []
+    monkeypatch.setattr(hnsw, "distances", lambda a, b, metric, f=hnsw.distances: calls.append(1) or f(a, b, metric))
+    rng = np.random.default_rng(5)
+    data, graph = rng.random((1200, 8)), hnsw.Graph(hnsw.Config(), "euclidean", 5)
+    graph.extend(list(range(1200)), data)
+    assert len(calls) < 200  # one by one it took some 100 calls a row
+    monkeypatch.setattr(hnsw, "paired", lambda a, b, metric, f=hnsw.paired: calls.append(1) or f(a, b, metric))
+    calls.clear()
+    d, found = graph.search_all(data[:64], 10)
+    assert len(calls) < 200 and (found[:, 0] == np.arange(64)).all()
+    assert [i for i, _ in graph.search(data[9], 10)] == found[9].tolist()
+
+
+def test_blocks_link_as_single_rows_do(monkeypatch):
+    data = np.random.default_rng(6).random((180, 8))
+    blocks, single = (hnsw.Graph(hnsw.Config(), "euclidean", 7) for _ in range(2))
+    blocks.extend(list(range(180)), data)
+    monkeypatch.setattr(hnsw, "SCANNED", 0)  # by beams, which are wider than this graph
+    for i, v in enumerate(data):
+        single.insert(i, v)
+    assert list(blocks.rows()) == list(single.rows())
